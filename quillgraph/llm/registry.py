@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from quillgraph.llm import language, quality
+from quillgraph.llm import chat, language, mixing, quality
 
 QUERIES = {
     "op2_language_id": language.op2_language_id,
     "op6_quality": quality.op6_quality,
+    "op7_chat_format": chat.op7_chat_format,
+    "op8_systematic_mix": mixing.op8_systematic_mix,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op8_systematic_mix": mixing.ORACLE}
