@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from quillgraph.llm import chat, language, mixing, quality
+from quillgraph.llm import chat, language, mixing, quality, toxicity
 
 QUERIES = {
     "op2_language_id": language.op2_language_id,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op6_quality": quality.op6_quality,
     "op7_chat_format": chat.op7_chat_format,
     "op8_systematic_mix": mixing.op8_systematic_mix,
