@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from quillgraph.llm import chat, language, mixing, quality, toxicity
+from quillgraph.llm import chat, language, mixing, pii, quality, toxicity
 
 QUERIES = {
     "op2_language_id": language.op2_language_id,
+    "op3_pii": pii.op3_pii,
     "op4_toxicity": toxicity.op4_toxicity,
     "op6_quality": quality.op6_quality,
     "op7_chat_format": chat.op7_chat_format,
