@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from quillgraph.llm import chat, language, mixing, pii, quality, toxicity
+from quillgraph.llm import chat, language, mixing, packing, pii, quality, toxicity
 
 QUERIES = {
     "op2_language_id": language.op2_language_id,
     "op3_pii": pii.op3_pii,
     "op4_toxicity": toxicity.op4_toxicity,
+    "op10_best_fit": packing.op10_best_fit,
     "op6_quality": quality.op6_quality,
     "op7_chat_format": chat.op7_chat_format,
     "op8_systematic_mix": mixing.op8_systematic_mix,
