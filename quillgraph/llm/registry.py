@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quillgraph.llm import chat, language, mixing, packing, pii, quality, toxicity
+from quillgraph.llm import chat, language, media, mixing, packing, pii, quality, toxicity
 
 QUERIES = {
+    "op1_progressive_jpeg": media.op1_progressive_jpeg,
     "op2_language_id": language.op2_language_id,
     "op3_pii": pii.op3_pii,
     "op4_toxicity": toxicity.op4_toxicity,
