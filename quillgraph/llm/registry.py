@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillgraph.llm import chat, language, media, mixing, packing, pii, quality, toxicity
+from quillgraph.llm import chat, fingerprints, language, media, mixing, packing, pii, quality, toxicity
 
 QUERIES = {
     "op1_progressive_jpeg": media.op1_progressive_jpeg,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_pii": pii.op3_pii,
     "op4_toxicity": toxicity.op4_toxicity,
     "op10_best_fit": packing.op10_best_fit,
+    "op5_imatch": fingerprints.op5_imatch,
     "op6_quality": quality.op6_quality,
     "op7_chat_format": chat.op7_chat_format,
     "op8_systematic_mix": mixing.op8_systematic_mix,
