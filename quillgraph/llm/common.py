@@ -61,3 +61,17 @@ def bounded_sample(rows: DataFrame, key: str, by: list[str], size: int) -> DataF
         return rows.limit(0)
     pairs = [x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, size / n)))]
     return rows.where(spread(*(F.col(c) for c in by)) < F.try_element_at(F.create_map(*pairs), F.col(key)))
+
+
+def memo(f):
+    """f with its last results kept. Unlike functools.cache it travels to executors with the function it wraps."""
+    kept: dict = {}
+
+    def g(*args):
+        if args not in kept:
+            if len(kept) >= 256:
+                kept.clear()
+            kept[args] = f(*args)
+        return kept[args]
+
+    return g

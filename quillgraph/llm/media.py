@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import read
+from quillgraph.llm.common import memo, read
 
 UNIT = 64
 #: Bits that the first scan of a band leaves to refinements.
@@ -26,13 +26,13 @@ SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string,
 _MARKER = re.compile(rb"\xff[^\x00\xd0-\xd7]")
 
 
-@functools.cache
+@memo
 def zigzag() -> np.ndarray:
     """Natural position of each coefficient in zigzag order."""
     return np.array(sorted(range(64), key=lambda n: (n // 8 + n % 8, n // 8 if (n // 8 + n % 8) % 2 else n % 8)))
 
 
-@functools.cache
+@memo
 def inverse_cosine() -> np.ndarray:
     """Rows: coefficients in zigzag order; columns: samples of the block in natural order."""
     x = np.arange(8)
@@ -73,13 +73,13 @@ class Table:
         return Table(bytes(len(symbols) if i == n else 0 for i in range(1, 17)), bytes(symbols))
 
 
-@functools.lru_cache(256)
+@memo
 def table(counts: bytes, symbols: bytes) -> Table:
     """The same table object for the same table: what it looks codes up in is made once."""
     return Table(counts, symbols)
 
 
-@functools.cache
+@memo
 def tables() -> dict[tuple[int, int], Table]:
     """(class, id): differences of DC; a first scan whose coefficients all have one size; runs of ended bands."""
     return {(0, 0): Table.even(list(range(12))), (1, 0): Table.even([8 - AC_LOW]), (1, 1): Table.even([n << 4 for n in range(15)])}
@@ -137,7 +137,7 @@ def extend(bits: np.ndarray, size: int | np.ndarray) -> np.ndarray:
 # --- geometry ------------------------------------------------------------------------------------------------------
 
 
-@functools.lru_cache(64)
+@memo
 def mcu_order(wide: int, high: int) -> np.ndarray:
     """Index of each block, all of the first component, then of the second, ..., in the order of interleaved scans."""
     out, first = [], 0

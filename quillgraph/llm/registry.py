@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillgraph.llm import chat, fingerprints, language, media, mixing, packing, pii, quality, toxicity
+from quillgraph.llm import chat, fingerprints, jaccard, language, media, mixing, packing, pii, quality, toxicity
 
 QUERIES = {
     "op1_progressive_jpeg": media.op1_progressive_jpeg,
@@ -14,5 +14,6 @@ QUERIES = {
     "op6_quality": quality.op6_quality,
     "op7_chat_format": chat.op7_chat_format,
     "op8_systematic_mix": mixing.op8_systematic_mix,
+    "op9_jaccard_join": jaccard.op9_jaccard_join,
 }
 ORACLE_SQL = {"op8_systematic_mix": mixing.ORACLE}
