@@ -374,5 +374,19 @@ def groups(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """docs with one row of each group of linked documents: the one whose doc_id names the component.
+
+    Documents without words and with a null doc_id stay. Of rows that repeat an id and a text one stays.
+    """
+    found = groups(docs, width, percent)
+    gone = found.where("component_id is not null and doc_id is not null and doc_id != component_id").select(F.col("doc_id").alias("q_id")).distinct()
+    left = docs.join(gone, F.col("doc_id").cast("long") == F.col("q_id"), "left_anti")
+    again = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("q_id"))
+    if again.isEmpty():
+        return left
+    return left.join(again, F.col("doc_id").cast("long") == F.col("q_id"), "left_anti").unionByName(left.join(again, F.col("doc_id").cast("long") == F.col("q_id"), "left_semi").dropDuplicates(["doc_id", "text"]))
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups(read(spark, sf_dir, "documents"))

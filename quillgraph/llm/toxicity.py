@@ -254,6 +254,18 @@ def classify(docs: DataFrame, model: Model, held_out: Column) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), held_out.alias("held_out")).mapInArrow(run, SCHEMA)
 
 
+def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs whose text scores under 0.5, with all their columns; null counts as an empty text."""
+    shared, place = docs.sparkSession.sparkContext.broadcast(astuple(model)), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(Model(*shared.value))
+        for batch in batches:
+            yield batch.filter(pa.array([scorer.score(v.as_py()) < 0.5 for v in batch.column(place)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     held = F.coalesce(id_remainder(F.col("doc_id"), 5) == 0, F.lit(False))
