@@ -1,6 +1,500 @@
-"""The registered queries over the driver tables and the SQL they are held against."""
+"""The registered queries over the driver tables and the SQL they are held against.
+
+Doubles are rounded to six places on both sides: sums differ in their last bits by the order of addition.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillgraph.functions import replies, text
+from quillgraph.operators import analytics, dyads, graph, match, slots, statistics
+from quillgraph.plans import views
+from quillgraph.plans.views import HUMAN
+from quillgraph.sources import io
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+INTENTS_SQL = "('supporting', 'contrasting', 'mentioning')"
+
+
+def query(name: str, sql: str | None = None):
+    def register(f):
+        QUERIES[name] = lambda spark, sf_dir: rounded(f(spark, sf_dir))
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return register
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    return df.select(*(F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+
+
+# --- intents ---------------------------------------------------------------------------------------------------------
+
+
+@query("label_preservation", f"WITH {views.SLOTS_SQL} SELECT source, intent_original, count(*) AS total, count(*) FILTER (intent_original = intent_filled) AS same, round(100.0 * count(*) FILTER (intent_original = intent_filled) / count(*), 6) AS pct FROM slots GROUP BY ALL")
+def _label_preservation(spark, d):
+    return analytics.label_preservation(views.slots(spark, d))
+
+
+@query("confusion_matrix", f"WITH {views.SLOTS_SQL} SELECT source, intent_original, count(*) FILTER (intent_filled = 'supporting') AS supporting, count(*) FILTER (intent_filled = 'contrasting') AS contrasting, count(*) FILTER (intent_filled = 'mentioning') AS mentioning FROM slots GROUP BY ALL")
+def _confusion(spark, d):
+    return analytics.confusion(views.slots(spark, d))
+
+
+_RATES = f"""{views.SLOTS_SQL}, rates AS (
+  SELECT source, paper, i.intent, avg(CASE WHEN s.intent = i.intent THEN 100.0::DOUBLE ELSE 0 END) AS pct
+  FROM slots s, (SELECT unnest(['supporting', 'contrasting', 'mentioning']) AS intent) i GROUP BY ALL)"""
+
+
+@query("per_paper_rate", f"WITH {_RATES} SELECT source, paper, intent, round(pct, 6) AS pct FROM rates")
+def _per_paper_rate(spark, d):
+    return analytics.per_paper_rate(views.slots(spark, d))
+
+
+@query("intent_ci", f"""WITH {_RATES}, c AS (SELECT source, intent, avg(pct) AS mean, count(*) AS n, CASE WHEN count(*) >= 2 THEN 1.96 * stddev_samp(pct) / sqrt(count(*)) END AS ci FROM rates GROUP BY ALL)
+SELECT c.intent, c.source, round(c.mean, 6) AS mean, c.n, round(c.ci, 6) AS ci, round(h.mean, 6) AS human_mean FROM c LEFT JOIN c h ON h.intent = c.intent AND h.source = '{HUMAN}'""")
+def _intent_ci(spark, d):
+    return analytics.with_human_level(analytics.mean_and_ci(analytics.per_paper_rate(views.slots(spark, d)), "pct", "source", "intent"), HUMAN)
+
+
+_SECTIONS = f"""{views.SLOTS_SQL}, named AS (
+  SELECT *, CASE replace(replace(lower(trim(rtrim(trim(section), '.'))), 'works', 'work'), 'settings', 'setup') WHEN 'introduction' THEN 'Introduction' WHEN 'related work' THEN 'Related Work'
+    WHEN 'experimental setup' THEN 'Experiments' WHEN 'methodology' THEN 'Method' WHEN 'discussion' THEN 'Discussion' WHEN 'conclusions' THEN 'Conclusion' ELSE left(section, 30) END AS name FROM slots
+), grid AS (
+  SELECT source, name, intent FROM (SELECT DISTINCT source FROM slots), (SELECT unnest({list(text.TOP_SECTIONS)}) AS name), (SELECT unnest(['supporting', 'contrasting', 'mentioning']) AS intent)
+), rates AS (
+  SELECT g.source, g.name AS section, g.intent, count(n.paper) AS n, coalesce(100.0::DOUBLE * count(*) FILTER (n.intent = g.intent) / nullif(count(n.paper), 0), 0) AS pct
+  FROM grid g LEFT JOIN named n ON n.source = g.source AND n.name = g.name GROUP BY ALL)"""
+
+
+@query("section_rate", f"WITH {_SECTIONS} SELECT source, section, intent, n, round(pct, 6) AS pct FROM rates")
+def _section_rate(spark, d):
+    return analytics.section_rates(views.slots(spark, d))
+
+
+@query("section_curve", f"WITH {_SECTIONS} SELECT source, section, intent, n, round(pct, 6) AS pct, round(pct / nullif(avg(pct) OVER (PARTITION BY source, intent), 0), 6) AS norm FROM rates")
+def _section_curve(spark, d):
+    return analytics.section_curves(analytics.section_rates(views.slots(spark, d)))
+
+
+# --- attributes ------------------------------------------------------------------------------------------------------
+
+_LONG = f"""{views.SLOTS_SQL}, long AS (
+  SELECT source, paper, intent, 'recency' AS attr, recency::DOUBLE AS value FROM slots WHERE cited_id IS NOT NULL AND recency BETWEEN 0 AND 30
+  UNION ALL SELECT source, paper, intent, 'citations', citations::DOUBLE FROM slots WHERE cited_id IS NOT NULL AND citations > 0
+  UNION ALL SELECT source, paper, intent, 'teamsize', teamsize::DOUBLE FROM slots WHERE cited_id IS NOT NULL AND teamsize > 0
+), means AS (
+  SELECT source, intent, attr, avg(value) AS mean, count(*) AS n, CASE WHEN count(*) >= 2 THEN 1.96 * stddev_samp(value) / sqrt(count(*)) END AS ci FROM long GROUP BY ALL
+), pm AS (SELECT source, paper, intent, attr, avg(value) AS value FROM long GROUP BY ALL
+), diff AS (
+  SELECT l.source, l.paper, l.intent, l.value - h.value AS gap FROM pm l JOIN pm h ON h.source = '{HUMAN}' AND l.source <> '{HUMAN}' AND h.paper = l.paper AND h.intent = l.intent AND h.attr = l.attr WHERE l.attr = 'recency'
+), logs AS (
+  SELECT l.source, l.paper, l.intent, ln(l.value) - ln(h.value) AS gap FROM pm l JOIN pm h ON h.source = '{HUMAN}' AND l.source <> '{HUMAN}' AND h.paper = l.paper AND h.intent = l.intent AND h.attr = l.attr WHERE l.attr = 'citations' AND l.value > 0 AND h.value > 0
+)"""
+
+
+def _long(spark, d):
+    return analytics.attributes_long(views.slots(spark, d))
+
+
+@query("attr_means", f"WITH {_LONG} SELECT source, intent, attr, round(mean, 6) AS mean, n, round(ci, 6) AS ci FROM means")
+def _attr_means(spark, d):
+    return analytics.attribute_means(_long(spark, d))
+
+
+@query("teamsize_ratio_gap", f"""WITH {_LONG} SELECT l.source, l.intent, round(l.mean / h.mean, 6) AS ratio, round(l.mean / h.mean * sqrt(pow(l.ci / l.mean, 2) + pow(h.ci / h.mean, 2)), 6) AS ci, l.n
+FROM means l JOIN means h ON h.source = '{HUMAN}' AND l.source <> '{HUMAN}' AND h.intent = l.intent AND h.attr = l.attr WHERE l.attr = 'teamsize'""")
+def _teamsize_ratio(spark, d):
+    return analytics.ratio_of_means(analytics.attribute_means(_long(spark, d)), HUMAN)
+
+
+_GAPS = "SELECT source, intent, round({f}(m), 6) AS gap, round({f}(m - c), 6) AS lo, round({f}(m + c), 6) AS hi, n FROM (SELECT source, intent, avg(gap) AS m, count(*) AS n, CASE WHEN count(*) >= 2 THEN 1.96 * stddev_samp(gap) / sqrt(count(*)) END AS c FROM {t} GROUP BY ALL)"
+
+
+@query("recency_gap", f"WITH {_LONG} " + _GAPS.format(f="", t="diff"))
+def _recency_gap(spark, d):
+    return analytics.gap_summary(analytics.paired_gaps(analytics.paper_means(_long(spark, d)), HUMAN, "recency"))
+
+
+@query("popularity_geomean_gap", f"WITH {_LONG} " + _GAPS.format(f="exp", t="logs"))
+def _popularity_gap(spark, d):
+    return analytics.gap_summary(analytics.paired_gaps(analytics.paper_means(_long(spark, d)), HUMAN, "citations", "log"), "log")
+
+
+_EXTREME = f"""{_LONG}, e AS (
+  SELECT source, intent, gap, row_number() OVER (PARTITION BY source ORDER BY gap DESC NULLS LAST, list_position(['supporting', 'contrasting', 'mentioning'], intent)) AS rn FROM (SELECT source, intent, avg(gap) AS gap FROM diff GROUP BY ALL))"""
+
+
+@query("extreme_intent", f"WITH {_EXTREME} SELECT source, intent, round(gap, 6) AS gap FROM e WHERE rn = 1")
+def _extreme(spark, d):
+    gaps = analytics.paired_gaps(analytics.paper_means(_long(spark, d)), HUMAN, "recency")
+    return analytics.extreme_intent(analytics.gap_summary(gaps), "gap").select("source", "intent", "gap")
+
+
+def _welch(spark, d):
+    gaps = analytics.paired_gaps(analytics.paper_means(_long(spark, d)), HUMAN, "recency")
+    a, b = analytics.extreme_against_rest(gaps, analytics.extreme_intent(analytics.gap_summary(gaps), "gap"))
+    return statistics.welch(statistics.moments(a, "gap", "source"), statistics.moments(b, "gap", "source"), ["source"])
+
+
+@query("welch_stats", f"""WITH {_EXTREME}, s AS (
+  SELECT d.source, count(*) FILTER (d.intent = e.intent) AS n1, avg(gap1) AS m1, var_samp(gap1) AS v1, count(*) FILTER (d.intent <> e.intent) AS n2, avg(gap2) AS m2, var_samp(gap2) AS v2
+  FROM (SELECT d.*, CASE WHEN d.intent = e.intent THEN d.gap END AS gap1, CASE WHEN d.intent <> e.intent THEN d.gap END AS gap2 FROM diff d JOIN e ON e.source = d.source AND e.rn = 1) d JOIN e ON e.source = d.source AND e.rn = 1 GROUP BY d.source)
+SELECT source, n1, n2, CASE WHEN n1 >= 5 AND n2 >= 5 THEN round((m1 - m2) / sqrt(v1 / n1 + v2 / n2), 6) END AS t,
+  CASE WHEN n1 >= 5 AND n2 >= 5 THEN round(pow(v1 / n1 + v2 / n2, 2) / (pow(v1 / n1, 2) / (n1 - 1) + pow(v2 / n2, 2) / (n2 - 1)), 6) END AS df FROM s""")
+def _welch_stats(spark, d):
+    return _welch(spark, d).select("source", "n1", "n2", "t", "df")
+
+
+@query("welch_p")
+def _welch_p(spark, d):
+    return _welch(spark, d).select("source", "p", text.stars(F.col("p")).alias("stars"))
+
+
+@query("anova_stats", f"""WITH {_RATES}, g AS (SELECT source, intent, count(*) AS n, avg(pct) AS m, var_samp(pct) AS v FROM rates GROUP BY ALL HAVING count(*) >= 5),
+a AS (SELECT intent, count(*) AS k, sum(n)::BIGINT AS n, sum(n * m) / sum(n) AS grand, sum(n * m * m) AS s2, sum((n - 1) * v) AS within FROM g GROUP BY intent HAVING count(*) >= 2)
+SELECT intent, k, n, k - 1 AS df1, n - k AS df2, round((s2 - n * grand * grand) / (k - 1) / (within / (n - k)), 5) AS f FROM a""")
+def _anova(spark, d):
+    m = statistics.moments(analytics.per_paper_rate(views.slots(spark, d)), "pct", "source", "intent")
+    return statistics.anova(m, ["intent"]).select("intent", "k", "n", "df1", "df2", F.round("f", 5).alias("f"))
+
+
+@query("ratio_difference_p")
+def _ratio_difference(spark, d):
+    r = analytics.ratio_of_means(analytics.attribute_means(_long(spark, d)), HUMAN)
+    ref = r.where("intent = 'supporting'").select("source", F.col("ratio").alias("r2"), F.col("ci").alias("c2"))
+    return statistics.ratio_difference(r.where("intent != 'supporting'").join(ref, "source"), "ratio", "ci", "r2", "c2").select("source", "intent", "z", "p")
+
+
+# --- matching --------------------------------------------------------------------------------------------------------
+
+
+def _refs(spark, d):
+    r = views.references(spark, d)
+    return r.withColumns({"doi_key": text.doi_key(F.col("doi")), "title_key": text.title_key(F.col("title")), "year_hint": text.to_int(F.col("year"))})
+
+
+def _found(spark, d):
+    return match.matched(_refs(spark, d), match.publication_keys(views.publications(spark, d)))
+
+
+def _with_match(spark, d):
+    return match.with_match(_refs(spark, d), _found(spark, d))
+
+
+_HIT = "SELECT row_uid, method, pub_id, pub_doi, pub_title, pub_title_key, pub_year, pub_venue, pub_citations, pub_type FROM "
+_HIT_COLUMNS = ("row_uid", "method", "pub_id", "pub_doi", "pub_title", "pub_title_key", "pub_year", "pub_venue", "pub_citations", "pub_type")
+
+
+@query("match_doi", f"WITH {views.REFS_SQL} {_HIT} best WHERE rn = 1 AND method = 'doi'")
+def _match_doi(spark, d):
+    return match.hits(_refs(spark, d), match.publication_keys(views.publications(spark, d)), "doi_key", "pub_doi_key", "doi").select(*_HIT_COLUMNS)
+
+
+@query("match_title", f"WITH {views.REFS_SQL} {_HIT} best WHERE rn = 1 AND method = 'title'")
+def _match_title(spark, d):
+    return match.hits(_refs(spark, d), match.publication_keys(views.publications(spark, d)), "title_key", "pub_title_key", "title").select(*_HIT_COLUMNS)
+
+
+@query("match_union", f"WITH {views.REFS_SQL} {_HIT} found")
+def _match_union(spark, d):
+    return _found(spark, d).select(*_HIT_COLUMNS)
+
+
+@query("agreement_flags", f"WITH {views.REFS_SQL} SELECT row_uid, method, doi_agrees, year_agrees FROM matched")
+def _agreement(spark, d):
+    return _with_match(spark, d).select("row_uid", "method", "doi_agrees", "year_agrees")
+
+
+@query("match_methods", f"WITH {views.REFS_SQL} SELECT coalesce(method, 'unmatched') AS method, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS pct FROM matched GROUP BY 1")
+def _methods(spark, d):
+    return match.method_shares(_with_match(spark, d))
+
+
+@query("match_by_kind_rollup", f"WITH {views.REFS_SQL} SELECT source, kind, count(*) AS total, count(pub_id) AS matched, round(100.0 * count(pub_id) / count(*), 6) AS pct FROM matched GROUP BY GROUPING SETS ((source, kind), (kind), ())")
+def _match_rates(spark, d):
+    return match.match_rates(_with_match(spark, d))
+
+
+@query("match_quality", f"""WITH {views.REFS_SQL}, q AS (SELECT kind, count(pub_id) AS matched, count(*) FILTER (pub_id IS NOT NULL AND doi_key <> '') AS doi_provided, count(*) FILTER (doi_agrees) AS doi_agree,
+  count(*) FILTER (pub_id IS NOT NULL AND year_hint IS NOT NULL) AS year_provided, count(*) FILTER (year_agrees) AS year_agree FROM matched GROUP BY kind)
+SELECT *, round(coalesce(100.0 * doi_agree / nullif(doi_provided, 0), 0), 6) AS doi_agree_pct, round(coalesce(100.0 * year_agree / nullif(year_provided, 0), 0), 6) AS year_agree_pct FROM q""")
+def _quality(spark, d):
+    return match.quality(_with_match(spark, d), "kind")
+
+
+def _focal(spark, d):
+    x = views.table(spark, d, "documents").where("doc_id % 10 = 0")
+    return x.select(F.col("doc_id").alias("paper"), F.concat(F.lit("p"), F.col("doc_id") + 1).alias("venue_id"), F.when(F.col("doc_id") % 20 == 0, F.concat(F.lit("p"), F.col("doc_id") + 7)).alias("preprint_id"))
+
+
+@query("focal_two_way", f"""WITH {views.REFS_SQL}, f AS (SELECT doc_id AS paper, 'p' || (doc_id + 1) AS venue_id, CASE WHEN doc_id % 20 = 0 THEN 'p' || (doc_id + 7) END AS preprint_id FROM documents WHERE doc_id % 10 = 0)
+SELECT f.paper, v.pub_id AS venue_pub_id, p.pub_id AS preprint_pub_id, CASE WHEN v.pub_title IS NOT NULL THEN coalesce(v.pub_citations, 0) END AS venue_citations, CASE WHEN p.pub_title IS NOT NULL THEN coalesce(p.pub_citations, 0) END AS preprint_citations
+FROM f LEFT JOIN pubs v ON v.pub_id = f.venue_id LEFT JOIN pubs p ON p.pub_id = f.preprint_id""")
+def _focal_two_way(spark, d):
+    return match.focal_matches(_focal(spark, d), match.publication_keys(views.publications(spark, d))).select("paper", "venue_pub_id", "preprint_pub_id", "venue_citations", "preprint_citations")
+
+
+def _slots_matched(spark, d):
+    return views.slots(spark, d).withColumn("pub_id", F.col("cited_id")).withColumnRenamed("context", "context_index")
+
+
+@query("shared_contexts", f"WITH {views.SLOTS_SQL}, k AS (SELECT paper, context FROM slots WHERE cited_id IS NOT NULL GROUP BY ALL HAVING count(DISTINCT source) = 5) SELECT source, s.paper, s.context AS context_index, position, intent FROM slots s JOIN k ON k.paper = s.paper AND k.context = s.context")
+def _shared(spark, d):
+    return match.shared_contexts(_slots_matched(spark, d), 5).select("source", "paper", "context_index", "position", "intent")
+
+
+@query("nested_regroup", f"""WITH {views.SLOTS_SQL}, c AS (SELECT source, paper, context, list(position ORDER BY position) FILTER (source = '{HUMAN}') AS o, list(position ORDER BY position) FILTER (source <> '{HUMAN}') AS r, count(cited_id) AS m FROM slots GROUP BY ALL)
+SELECT source, paper, count(*) AS n_contexts, array_to_string(list(context ORDER BY context), ',') AS contexts, coalesce(sum(len(o)), 0)::BIGINT AS n_original, coalesce(sum(len(r)), 0)::BIGINT AS n_recommended, sum(m)::BIGINT AS n_matched FROM c GROUP BY ALL""")
+def _nested(spark, d):
+    at = _slots_matched(spark, d).withColumn("kind", F.when(F.col("source") == HUMAN, "original").otherwise("recommended"))
+    at = at.select("source", "paper", "context_index", "position", "kind", "pub_id", "intent")
+    out = match.nested(at, at.select("source", "paper", "context_index").distinct().withColumn("section", F.lit("s")))
+    return out.select("source", "paper", F.size("contexts").cast("bigint").alias("n_contexts"), F.array_join(F.transform("contexts", lambda c: c["context_index"].cast("string")), ",").alias("contexts"), "n_original", "n_recommended", (F.col("n_original_matched") + F.col("n_recommended_matched")).alias("n_matched"))
+
+
+# --- authors ---------------------------------------------------------------------------------------------------------
+
+
+@query("first_last_author", f"WITH {views.ORDERS_SQL} SELECT id AS pub_id, year, venue, len(r)::INT AS teamsize, r[1] AS first_author_researcher_id, r[-1] AS last_author_researcher_id FROM opub")
+def _first_last(spark, d):
+    return dyads.publication_authors(views.order_publications(spark, d)).select("pub_id", "year", "venue", "teamsize", "first_author_researcher_id", "last_author_researcher_id")
+
+
+def _facts(spark, d):
+    researchers = views.table(spark, d, "part").where("p_size <= 25").select(F.col("p_partkey").alias("id"))
+    return dyads.publication_facts(views.order_publications(spark, d), researchers, views.CUTOFF)
+
+
+_FACTS = f"""{views.ORDERS_SQL}, facts AS (
+  SELECT DISTINCT p AS researcher_id, id AS pub_id, year, len(list_filter(years, lambda y: y < {views.CUTOFF})) AS before, nullif(countries[1], '') AS country
+  FROM (SELECT *, unnest(list_distinct(r)) AS p FROM opub WHERE year <= {views.CUTOFF}) WHERE p IN (SELECT p_partkey FROM part WHERE p_size <= 25))"""
+
+
+@query("researcher_career", f"WITH {_FACTS} SELECT researcher_id, min(year) AS first_year, max(year) AS last_year, count(DISTINCT pub_id) AS n_pubs, sum(before)::BIGINT AS citations_before FROM facts GROUP BY researcher_id")
+def _careers(spark, d):
+    return dyads.careers(_facts(spark, d))
+
+
+@query("first_affiliation", f"WITH {_FACTS} SELECT researcher_id, country AS first_country FROM (SELECT *, row_number() OVER (PARTITION BY researcher_id ORDER BY country IS NULL, year, pub_id) AS rn FROM facts) WHERE rn = 1")
+def _countries(spark, d):
+    return dyads.first_countries(_facts(spark, d))
+
+
+def _dyads(spark, d):
+    pubs = views.order_publications(spark, d).withColumn("doi", F.when(F.col("id") % 3 == 0, F.concat(F.lit("d"), F.col("id"))))
+    authors = dyads.publication_authors(pubs)
+    o = views.table(spark, d, "orders")
+    cites = o.select(F.col("o_custkey").alias("paper"), F.col("o_orderkey").alias("context_index"), F.when(F.col("o_orderkey") % 4 != 0, F.col("o_orderkey") + 1).alias("cited_id"), F.lit("raw").alias("doi"), F.lit("1900").alias("year"), F.lit("v").alias("venue"))
+    focal = o.groupBy(F.col("o_custkey").alias("paper")).agg(F.min("o_orderkey").alias("venue_id"))
+    return dyads.dyad_rows(cites, focal, authors)
+
+
+_DYADS = f"""{views.ORDERS_SQL}, dy AS (
+  SELECT o.o_custkey AS paper, o.o_orderkey AS context_index, CASE WHEN o.o_orderkey % 4 <> 0 THEN o.o_orderkey + 1 END AS cited_id, f.r[1] AS focal_first_author_researcher_id, f.r[-1] AS focal_last_author_researcher_id,
+    c.r[1] AS cited_first_author_researcher_id, c.r[-1] AS cited_last_author_researcher_id, coalesce(CASE WHEN c.id % 3 = 0 THEN 'd' || c.id END, 'raw') AS cited_doi,
+    CASE WHEN c.id IS NOT NULL THEN c.year::VARCHAR ELSE '1900' END AS cited_year, CASE WHEN c.id IS NOT NULL THEN c.venue ELSE 'v' END AS cited_venue
+  FROM orders o JOIN (SELECT o_custkey, min(o_orderkey) AS v FROM orders GROUP BY 1) m ON m.o_custkey = o.o_custkey LEFT JOIN opub f ON f.id = m.v LEFT JOIN opub c ON o.o_orderkey % 4 <> 0 AND c.id = o.o_orderkey + 1)"""
+_DYAD_COLUMNS = ("paper", "context_index", "cited_id", "focal_first_author_researcher_id", "focal_last_author_researcher_id", "cited_first_author_researcher_id", "cited_last_author_researcher_id", "cited_doi", "cited_year", "cited_venue")
+
+
+@query("dyads", f"WITH {_DYADS} SELECT * FROM dy")
+def _dyad_rows(spark, d):
+    return _dyads(spark, d).select(*_DYAD_COLUMNS)
+
+
+@query("dyad_coverage", f"WITH {_DYADS} SELECT count(*) AS total, count(cited_id) AS matched, count(cited_first_author_researcher_id) AS first, count(cited_last_author_researcher_id) AS last FROM dy")
+def _dyad_coverage(spark, d):
+    return dyads.coverage(_dyads(spark, d))
+
+
+@query("author_pairs", f"""WITH {_DYADS} SELECT paper, context_index, role, CASE WHEN role[:5] = 'first' THEN focal_first_author_researcher_id ELSE focal_last_author_researcher_id END AS source,
+CASE WHEN role[-5:] = 'first' THEN cited_first_author_researcher_id ELSE cited_last_author_researcher_id END AS target FROM dy, (SELECT unnest(['first_first', 'first_last', 'last_first', 'last_last']) AS role)""")
+def _author_pairs(spark, d):
+    return dyads.author_pairs(_dyads(spark, d).select(*_DYAD_COLUMNS)).select("paper", "context_index", "role", "source", "target")
+
+
+# --- graph -----------------------------------------------------------------------------------------------------------
+
+
+def _edges(spark, d):
+    return graph.coauthor_edges(views.order_publications(spark, d), views.seeds(spark, d), views.GRAPH_YEARS, views.TEAM)
+
+
+@query("coauthor_edges", f"WITH {views.EDGES_SQL} SELECT src, dst, weight FROM edges")
+def _coauthors(spark, d):
+    return _edges(spark, d)
+
+
+@query("edge_membership", f"""WITH {views.EDGES_SQL}, f AS (SELECT src, dst, (src IN (SELECT id FROM seeds))::INT + (dst IN (SELECT id FROM seeds))::INT AS n FROM edges)
+SELECT count(*) FILTER (n = 2) AS both, count(*) FILTER (n = 1) AS one, count(*) FILTER (n = 0) AS neither, count(*) FILTER (src >= dst) AS disordered FROM f""")
+def _membership(spark, d):
+    return graph.membership(_edges(spark, d), views.seeds(spark, d))
+
+
+@query("weight_quantiles", f"WITH {views.EDGES_SQL}, q AS (SELECT min(weight) AS w_min, quantile_cont(weight, [0.25, 0.5, 0.75, 0.9, 0.99]) AS q, max(weight) AS w_max, sum(weight)::BIGINT AS w_sum FROM edges) SELECT w_min, q[1]::DOUBLE AS p25, q[2]::DOUBLE AS p50, q[3]::DOUBLE AS p75, q[4]::DOUBLE AS p90, q[5]::DOUBLE AS p99, w_max, w_sum FROM q")
+def _quantiles(spark, d):
+    return graph.weight_quantiles(_edges(spark, d))
+
+
+@query("node_counts", f"WITH {views.EDGES_SQL} SELECT count(DISTINCT src) AS sources, (SELECT count(DISTINCT dst) FROM edges) AS targets, (SELECT count(*) FROM (SELECT src FROM edges UNION SELECT dst FROM edges)) AS nodes FROM edges")
+def _nodes(spark, d):
+    return graph.node_counts(_edges(spark, d))
+
+
+def _pairs(spark, d):
+    """The first twenty parts by key, each with every part: a fixed set of search sources."""
+    p = views.table(spark, d, "part").select(F.col("p_partkey").alias("target"))
+    s = p.orderBy("target").limit(20).select(F.col("target").alias("source"))
+    # twenty rows on one side, whatever the table holds
+    return p.join(F.broadcast(s))
+
+
+def _hops(spark, d):
+    return graph.hops_in_memory(_edges(spark, d), _pairs(spark, d))
+
+
+_BFS = f"""{views.EDGES_SQL}, adj AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), pairs AS (SELECT s.p_partkey AS source, t.p_partkey AS target FROM (SELECT p_partkey FROM part ORDER BY p_partkey LIMIT 20) s, part t
+), walk(source, node, d) AS (
+  SELECT DISTINCT p.source, p.source, 0 FROM pairs p WHERE p.source IN (SELECT src FROM adj)
+  UNION SELECT w.source, a.dst, w.d + 1 FROM walk w JOIN adj a ON a.src = w.node WHERE w.d < 8
+), near AS (SELECT source, node, min(d) AS d FROM walk GROUP BY ALL
+), hops AS (SELECT p.source, p.target, CASE WHEN p.source IN (SELECT src FROM adj) AND p.target IN (SELECT src FROM adj) THEN coalesce(n.d, -1) END::INT AS d FROM pairs p LEFT JOIN near n ON n.source = p.source AND n.node = p.target)"""
+_BFS = "RECURSIVE " + _BFS
+
+
+@query("bfs_distances", f"WITH {_BFS} SELECT source, target, d FROM hops")
+def _bfs(spark, d):
+    return _hops(spark, d)
+
+
+@query("bfs_by_joins", f"WITH {_BFS} SELECT source, target, d FROM hops")
+def _bfs_joins(spark, d):
+    edges, pairs = _edges(spark, d), _pairs(spark, d)
+    return graph.distances(pairs, graph.hops_by_joins(edges, pairs.select(F.col("source").alias("id"))), graph.nodes(edges))
+
+
+@query("distance_coverage", f"WITH {_BFS} SELECT source, count(d) AS resolved, count(*) FILTER (d = -1) AS unreachable, count(*) FILTER (d >= 0) AS with_path FROM hops GROUP BY source")
+def _coverage(spark, d):
+    return graph.distance_coverage(_hops(spark, d), "source")
+
+
+@query("distance_bins", f"WITH {_BFS} SELECT CASE WHEN d = -1 THEN 'unreach' WHEN d BETWEEN 0 AND 4 THEN 'd=' || d WHEN d >= 5 THEN 'd>=5' ELSE '' END AS bin, count(*) AS n FROM hops GROUP BY 1")
+def _bins(spark, d):
+    return _hops(spark, d).groupBy(text.distance_bin(F.col("d")).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _pooled(spark, d):
+    """Slots with four made-up distances, from -1 to 6 or null, long."""
+    s = views.slots(spark, d)
+    dist = [F.when((F.col("teamsize") + k) % 5 != 0, (F.col("teamsize") + F.col("citations") * k) % 8 - 1).alias(f"d{k}") for k in range(4)]
+    at = s.select("source", "paper", "context", "position", F.when(F.col("teamsize") % 9 != 0, F.col("intent")).alias("intent"), *dist)
+    return analytics.pooled_distances(at, ["source", "paper", "context", "position"], {r: f"d{k}" for k, r in enumerate(analytics.ROLES)})
+
+
+_POOLED = f"""{views.SLOTS_SQL}, pooled AS (
+  SELECT source, paper, context, position, CASE WHEN teamsize % 9 <> 0 THEN intent ELSE '<missing>' END AS intent, {list(analytics.ROLES)}[k + 1] AS role, (teamsize + citations * k) % 8 - 1 AS d
+  FROM slots, (SELECT unnest([0, 1, 2, 3]) AS k) WHERE (teamsize + k) % 5 <> 0
+), ctx AS (SELECT source, intent, paper, context, avg(v) AS value FROM (SELECT source, intent, paper, context, position, avg(d) AS v FROM pooled WHERE d >= 0 AND intent <> '<missing>' GROUP BY ALL) GROUP BY ALL
+), allctx AS (SELECT source, paper, context, avg(v) AS value FROM (SELECT source, paper, context, position, avg(d) AS v FROM pooled WHERE d >= 0 GROUP BY ALL) GROUP BY ALL)"""
+
+
+@query("near_network", f"WITH {_POOLED} SELECT source, intent, paper, round(avg(CASE WHEN d BETWEEN 0 AND 1 THEN 100.0::DOUBLE ELSE 0 END), 6) AS pct, count(*) AS n FROM pooled WHERE intent <> '<missing>' GROUP BY ALL")
+def _near(spark, d):
+    return analytics.near_rate(_pooled(spark, d))
+
+
+@query("mean_distance_per_context", f"WITH {_POOLED} SELECT source, intent, paper, context, round(value, 6) AS value FROM ctx")
+def _mean_distance(spark, d):
+    return analytics.mean_distances(_pooled(spark, d))
+
+
+@query("mean_distance_first_pair", f"WITH {_POOLED} SELECT source, intent, paper, context, position, round(avg(d), 6) AS value FROM pooled WHERE d >= 0 AND role = 'first_first' AND intent <> '<missing>' GROUP BY ALL")
+def _mean_distance_ff(spark, d):
+    return analytics.mean_distances(_pooled(spark, d), "ff_only", "per_citation")
+
+
+@query("mean_distance_all_pairs", f"WITH {_POOLED} SELECT source, intent, paper, context, round(avg(d), 6) AS value FROM pooled WHERE d >= 0 AND intent <> '<missing>' GROUP BY ALL")
+def _mean_distance_all(spark, d):
+    return analytics.mean_distances(_pooled(spark, d), "all_pooled", "per_context")
+
+
+@query("distance_medians", f"WITH {_POOLED} SELECT source, round(median(value), 6) AS median, round(avg(value), 6) AS mean, count(*) AS n FROM allctx GROUP BY source")
+def _medians(spark, d):
+    return analytics.medians(analytics.pooled_mean_distance(_pooled(spark, d)))
+
+
+@query("distance_kde", f"""WITH {_POOLED}, e AS (SELECT quantile_cont(value, 0.005) AS a, quantile_cont(value, 0.995) AS b FROM allctx), g AS (SELECT i, a + i * (b - a) / 399 AS x FROM e, (SELECT unnest(range(400))::INT AS i)),
+w AS (SELECT source, count(*) AS n, 0.35::DOUBLE * stddev_samp(value) AS h FROM allctx GROUP BY source), c AS (SELECT source, value, count(*) AS w FROM allctx GROUP BY ALL)
+SELECT c.source, g.i, round(g.x, 6) AS x, round(sum(c.w * exp(-0.5 * pow((g.x - c.value) / w.h, 2))) / any_value(w.n * w.h * sqrt(2 * pi())), 6) AS density FROM c JOIN w ON w.source = c.source AND w.n >= 5 AND w.h > 0, g GROUP BY c.source, g.i, g.x""")
+def _kde(spark, d):
+    return analytics.density(analytics.pooled_mean_distance(_pooled(spark, d)))
+
+
+# --- contexts and text -----------------------------------------------------------------------------------------------
+
+
+@query("merge_contexts", f"""WITH {views.RAW_SQL}, g AS (
+  SELECT paper, section, citation_sentence, min(raw_index) AS i0, list(raw_index ORDER BY raw_index) AS idx, flatten(list([k, e] ORDER BY raw_index)) AS keys FROM raw GROUP BY ALL)
+SELECT paper, row_number() OVER (PARTITION BY paper ORDER BY i0) - 1 AS context_index, section, citation_sentence, array_to_string(idx, ',') AS source_indices,
+  array_to_string(list_filter(keys, lambda x, i: list_position(keys, x) = i), ',') AS cite_keys, greatest(1, len(list_distinct(keys)))::INT AS num_citations_required FROM g""")
+def _merge(spark, d):
+    at = slots.merged(views.raw_contexts(spark, d))
+    return at.select("paper", F.col("context_index").cast("bigint").alias("context_index"), "section", "citation_sentence", F.array_join(F.transform("source_context_indices", lambda i: i.cast("string")), ",").alias("source_indices"), F.array_join("cite_keys", ",").alias("cite_keys"), "num_citations_required")
+
+
+@query("resume_anti", "SELECT DISTINCT user_id AS paper FROM events WHERE user_id NOT IN (SELECT user_id FROM events GROUP BY user_id HAVING count(*) FILTER (event_type = 'error') = 0) AND event_type <> 'view'")
+def _resume(spark, d):
+    e = views.table(spark, d, "events")
+    results = e.select(F.col("user_id").alias("paper"), F.col("event_id").alias("context_index"), F.col("event_type").alias("intent"), F.when(F.col("event_type") == "error", "api_error").alias("error"))
+    return io.still_to_do(e.where("event_type != 'view'").select(F.col("user_id").alias("paper")).distinct(), io.finished(results, "paper", "intent", "error"), "paper")
+
+
+@query("top_errors", "SELECT user_id AS paper, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1 ORDER BY n DESC, paper LIMIT 20")
+def _top_errors(spark, d):
+    e = views.table(spark, d, "events").select(F.col("user_id").alias("paper"), F.when(F.col("event_type") == "error", "api_error").alias("error"), F.col("event_type").alias("intent"))
+    return slots.error_report(e)[1]
+
+
+def _doi_like(i: Column) -> Column:
+    return F.element_at(F.array(*(F.lit(x) for x in ("10.1/2025.Findings-EMNLP.", "10.1/naacl-long.", " ACL-Short ", "10.1/other", ""))), (i % 5 + 1).cast("int"))
+
+
+@query("venue_class", """SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'EMNLP Findings' WHEN 1 THEN 'NAACL Main' WHEN 2 THEN 'ACL Main' WHEN 3 THEN 'Other' ELSE 'Unknown' END AS venue FROM documents""")
+def _venue(spark, d):
+    return views.table(spark, d, "documents").select("doc_id", text.venue_of(_doi_like(F.col("doc_id"))).alias("venue"))
+
+
+@query("model_slug", "SELECT doc_id, trim(regexp_replace(left(text, 40), '[^\\p{L}\\p{N}\\-_.]', '_', 'g'), '_') AS slug FROM documents")
+def _slug(spark, d):
+    return views.table(spark, d, "documents").select("doc_id", text.model_slug(F.substring("text", 1, 40)).alias("slug"))
+
+
+@query("doi_norm", f"WITH {views.REFS_SQL} SELECT row_uid, doi_key, title_key, year_hint FROM refs")
+def _doi(spark, d):
+    return _refs(spark, d).select("row_uid", "doi_key", "title_key", "year_hint")
+
+
+@query("clean_text", r"""SELECT doc_id, CASE WHEN length(t) <= 600 THEN t ELSE left(t, 600) || '...' END AS cleaned FROM (
+  SELECT doc_id, trim(regexp_replace(regexp_replace('see [CITE] and ' || text || ' done', '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10) || chr(9)) AS t
+  FROM documents WHERE NOT contains(text, '\') AND NOT contains(text, '$'))""")
+def _clean(spark, d):
+    docs = views.table(spark, d, "documents").where(~F.contains("text", F.lit("\\")) & ~F.contains("text", F.lit("$")))
+    t = F.concat(F.lit(r"see \citep*{a,b} and \emph{"), F.col("text"), F.lit(r"}\label{x} done\footnote{gone}"))
+    return docs.select("doc_id", text.clean_snippet(t).alias("cleaned"))
+
+
+@query("parse_json", "SELECT event_id, try_cast(json_extract_string(props, '$.' || (json_keys(props)[1])) AS VARCHAR) AS first_value FROM events WHERE json_valid(props)")
+def _json(spark, d):
+    e = views.table(spark, d, "events")
+    wrapped = F.concat(F.lit("```json\n"), F.col("props"), F.lit("\n```"))
+    keys = F.json_object_keys("props")
+    v = F.from_json(F.to_json(replies.json_object(wrapped)), "map<string,string>")
+    return e.select("event_id", F.try_element_at(v, keys[0]).alias("first_value"))
