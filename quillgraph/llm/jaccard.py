@@ -21,8 +21,8 @@ CLASS = 1.4
 SLICES = 64
 #: Vertical fragments in which a pair's overlaps are counted apart.
 FRAGMENTS = 4
-#: Buckets up to this size give all their pairs at once; larger ones go by pivots, at most so many rounds.
-SMALL, ROUNDS = 6, 3
+#: Buckets up to this size give all their pairs at once; larger ones go by a pivot, and by rarity where that leaves them torn.
+SMALL = 6
 #: Words that a worker remembers; bits of the filter for the second reading of texts.
 MEMORY, FILTER_BITS = 300_000, 1 << 24
 _U = np.uint64
@@ -226,13 +226,14 @@ def packed(s: np.ndarray) -> list[bytes]:
     return [b[i:j].tobytes() for i, j in zip(bounds, bounds[1:], strict=False)]
 
 
-def overlap(a: bytes, b: bytes) -> int:
-    def read_back(x: bytes) -> np.ndarray:
-        out = np.zeros((len(x) // 5, 8), np.uint8)
-        out[:, :5] = np.frombuffer(x, np.uint8).reshape(-1, 5)
-        return out.view("<u8").ravel()
+def unpacked(x: bytes) -> np.ndarray:
+    out = np.zeros((len(x) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(x, np.uint8).reshape(-1, 5)
+    return out.view("<u8").ravel()
+
 
-    return len(np.intersect1d(read_back(a), read_back(b), assume_unique=True))
+def overlap(a: bytes, b: bytes) -> int:
+    return len(np.intersect1d(unpacked(a), unpacked(b), assume_unique=True))
 
 
 class Join:
@@ -331,23 +332,43 @@ class Join:
         open_ = members.join(weight, "key").select("bucket", "key", "weight").withColumn("root", F.col("key"))
         pivots = open_.groupBy("bucket").agg(F.max(F.struct("weight", "key")).alias("p")).select("bucket", F.col("p.key").alias("pivot"))
         found = cut(found.unionByName(self.links(self.possible(self._against(open_, pivots)))))
-        for step in range(ROUNDS):
-            roots = components(found)
-            # pairs with a pivot are settled, and so are pairs within a component
-            open_ = open_.drop("root").join(pivots, "bucket", "left").where("pivot is null or key != pivot").drop("pivot").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-            torn = open_.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("bucket")
-            open_ = cut(open_.join(torn, "bucket", "left_semi"))
-            if open_.isEmpty():
-                return found, roots
-            if step < ROUNDS - 1:
-                pivots = open_.groupBy("bucket").agg(F.max(F.struct("weight", "key")).alias("p")).select("bucket", F.col("p.key").alias("pivot"))
-                pairs = self._against(open_, pivots)
-            else:
-                other = open_.select("bucket", F.col("key").alias("b"), F.col("root").alias("rb"))
-                pairs = open_.join(other, "bucket").where("key < b and root != rb").select(F.col("key").alias("a"), "b")
-            found = cut(found.unionByName(self.links(self.possible(pairs))).distinct())
+        roots = components(found)
+        # pairs with a pivot are settled, and so are pairs within a component
+        rest = open_.drop("root").join(pivots, "bucket").where("key != pivot").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+        torn = rest.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("bucket")
+        rest = cut(rest.join(torn, "bucket", "left_semi").select("key", "root").distinct())
+        if rest.isEmpty():
+            return found, roots
+        found = cut(found.unionByName(self.links(self.possible(self._by_rarity(rest)))))
         return found, components(found)
 
+    def _by_rarity(self, rest: DataFrame) -> DataFrame:
+        """Pairs of sets (key, root) of different components that may link, by the rarest of their shingles.
+
+        The sets' shingles are ordered by how many of the sets hold them, rarest first. The first shingle that two sets
+        share stands after shingles that the other lacks; so what is left from there on must hold the overlap that a
+        link needs. A set for which that fails even with a partner of its own size can only meet one that stands
+        better: two of them never need a look. That settles copies of one text that differ too much to link.
+        """
+        p = self.percent
+
+        def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for key, f, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    t = unpacked(x).astype(np.int64) + (f << 40)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(t), key)), pa.array(t)], ["key", "token"])
+
+        tokens = self.sets.join(rest.select("key"), "key", "left_semi").select("key", "f", "x").mapInArrow(opened, "key long, token long")
+        often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("often"))
+        ordered = tokens.join(often, "token").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("often", "token"))).alias("all")).join(rest, "key").withColumn("n", F.size("all").cast("long"))
+        first = ordered.select("key", "root", "n", F.posexplode(F.slice("all", 1, (F.col("n") - F.ceil(F.col("n") * p / 100.0) + 1).cast("int"))).alias("at", "t"))
+        # a shingle of one set alone leads to no pair, but takes its place in the order
+        entries = cut(first.where("t.often > 1").select("key", "root", "n", F.col("t.token").alias("token"), (F.col("n") - F.col("at")).alias("left")))
+        a, b = (entries.select("token", *(F.col(c).alias(f"{c}_{x}") for c in ("key", "root", "n", "left"))) for x in "ab")
+        need = p * (F.col("n_a") + F.col("n_b"))
+        met = a.where(2 * p * F.col("n_a") <= (100 + p) * F.col("left_a")).join(b, "token")
+        return met.where((F.col("root_a") != F.col("root_b")) & (need <= (100 + p) * F.least("left_a", "left_b")) & (100 * F.least("n_a", "n_b") >= p * F.greatest("n_a", "n_b"))).select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
+
     @staticmethod
     def _against(members: DataFrame, pivots: DataFrame) -> DataFrame:
         """Pairs of each bucket's pivot with the members of other components."""
