@@ -58,10 +58,10 @@ SLOTS_SQL = f"""slots AS (
 
 
 def references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as citations: identifiers in several spellings, titles from the text's beginning."""
+    """Documents as citations: identifiers in several spellings, titles are first lines."""
     d = table(spark, sf_dir, "documents")
     doi = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(" HTTPS://DOI.org/10.1/A"), F.col("doc_id") % 50)).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("doi: 10.1/a"), F.col("doc_id") % 77)).otherwise("")
-    return d.select(F.col("doc_id").alias("row_uid"), F.concat(F.lit("m"), F.col("doc_id") % 3).alias("source"), F.when(F.col("doc_id") % 2 == 0, "original").otherwise("recommended").alias("kind"), doi.alias("doi"), F.substring("text", 1, 60).alias("title"), F.when(F.col("doc_id") % 5 != 0, (2000 + F.col("n_chars") % 25).cast("string")).otherwise("").alias("year"))
+    return d.select(F.col("doc_id").alias("row_uid"), F.concat(F.lit("m"), F.col("doc_id") % 3).alias("source"), F.when(F.col("doc_id") % 2 == 0, "original").otherwise("recommended").alias("kind"), doi.alias("doi"), F.regexp_extract("text", r"^[^\n]*", 0).alias("title"), F.when(F.col("doc_id") % 5 != 0, (2000 + F.col("n_chars") % 25).cast("string")).otherwise("").alias("year"))
 
 
 def publications(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +69,7 @@ def publications(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     i = F.col("doc_id")
     return d.select(
-        F.concat(F.lit("p"), i).alias("id"), F.when(i % 2 == 0, F.concat(F.lit("10.1/A"), i % 60)).alias("doi"), F.struct(F.when(i % 7 != 0, F.substring("text", 1, 60)).alias("preferred")).alias("title"),
+        F.concat(F.lit("p"), i).alias("id"), F.when(i % 2 == 0, F.concat(F.lit("10.1/A"), i % 60)).alias("doi"), F.struct(F.when(i % 7 != 0, F.regexp_extract("text", r"^[^\n]*", 0)).alias("preferred")).alias("title"),
         F.struct(F.when(i % 3 == 0, F.col("source")).alias("name")).alias("conference"), F.struct(F.col("lang").alias("title")).alias("source"), F.element_at(F.array(*(F.lit(k) for k in KINDS)), (i % 5 + 1).cast("int")).alias("type"),
         F.when(i % 11 != 0, 2000 + F.col("n_chars") % 23).cast("int").alias("year"), F.when(i % 13 != 0, F.col("n_chars") % 100).alias("citations_count"), F.array().cast("array<string>").alias("authors"),
     )
@@ -81,10 +81,10 @@ REFS_SQL = f"""refs AS (
     {_TITLE % "title"} AS title_key, try_cast(nullif(year, '') AS BIGINT) AS year_hint
   FROM (SELECT doc_id AS row_uid, 'm' || (doc_id % 3) AS source, CASE WHEN doc_id % 2 = 0 THEN 'original' ELSE 'recommended' END AS kind,
     CASE doc_id % 3 WHEN 0 THEN ' HTTPS://DOI.org/10.1/A' || (doc_id % 50) WHEN 1 THEN 'doi: 10.1/a' || (doc_id % 77) ELSE '' END AS doi,
-    substr(text, 1, 60) AS title, CASE WHEN doc_id % 5 <> 0 THEN (2000 + n_chars % 25)::VARCHAR ELSE '' END AS year FROM documents)
+    split_part(text, chr(10), 1) AS title, CASE WHEN doc_id % 5 <> 0 THEN (2000 + n_chars % 25)::VARCHAR ELSE '' END AS year FROM documents)
 ), pubs AS (
   SELECT *, lower(pub_doi) AS pub_doi_key, coalesce({_TITLE % "pub_title"}, '') AS pub_title_key FROM (
-    SELECT 'p' || doc_id AS pub_id, CASE WHEN doc_id % 2 = 0 THEN '10.1/A' || (doc_id % 60) END AS pub_doi, CASE WHEN doc_id % 7 <> 0 THEN substr(text, 1, 60) END AS pub_title,
+    SELECT 'p' || doc_id AS pub_id, CASE WHEN doc_id % 2 = 0 THEN '10.1/A' || (doc_id % 60) END AS pub_doi, CASE WHEN doc_id % 7 <> 0 THEN split_part(text, chr(10), 1) END AS pub_title,
       coalesce(CASE WHEN doc_id % 3 = 0 THEN source END, lang) AS pub_venue, lower({list(KINDS)}[(doc_id % 5 + 1)::INT]) AS pub_type,
       (CASE WHEN doc_id % 11 <> 0 THEN 2000 + n_chars % 23 END)::INT AS pub_year, CASE WHEN doc_id % 13 <> 0 THEN n_chars % 100 END AS pub_citations FROM documents)
   WHERE pub_doi IS NOT NULL OR pub_title IS NOT NULL

@@ -231,11 +231,11 @@ def _quality(spark, d):
 
 
 def _focal(spark, d):
-    x = views.table(spark, d, "documents").where("doc_id % 10 = 0")
+    x = views.table(spark, d, "documents")
     return x.select(F.col("doc_id").alias("paper"), F.concat(F.lit("p"), F.col("doc_id") + 1).alias("venue_id"), F.when(F.col("doc_id") % 20 == 0, F.concat(F.lit("p"), F.col("doc_id") + 7)).alias("preprint_id"))
 
 
-@query("focal_two_way", f"""WITH {views.REFS_SQL}, f AS (SELECT doc_id AS paper, 'p' || (doc_id + 1) AS venue_id, CASE WHEN doc_id % 20 = 0 THEN 'p' || (doc_id + 7) END AS preprint_id FROM documents WHERE doc_id % 10 = 0)
+@query("focal_two_way", f"""WITH {views.REFS_SQL}, f AS (SELECT doc_id AS paper, 'p' || (doc_id + 1) AS venue_id, CASE WHEN doc_id % 20 = 0 THEN 'p' || (doc_id + 7) END AS preprint_id FROM documents)
 SELECT f.paper, v.pub_id AS venue_pub_id, p.pub_id AS preprint_pub_id, CASE WHEN v.pub_title IS NOT NULL THEN coalesce(v.pub_citations, 0) END AS venue_citations, CASE WHEN p.pub_title IS NOT NULL THEN coalesce(p.pub_citations, 0) END AS preprint_citations
 FROM f LEFT JOIN pubs v ON v.pub_id = f.venue_id LEFT JOIN pubs p ON p.pub_id = f.preprint_id""")
 def _focal_two_way(spark, d):
@@ -350,24 +350,25 @@ def _nodes(spark, d):
 
 
 def _pairs(spark, d):
-    """The first twenty parts by key, each with every part: a fixed set of search sources."""
-    p = views.table(spark, d, "part").select(F.col("p_partkey").alias("target"))
-    s = p.orderBy("target").limit(20).select(F.col("target").alias("source"))
-    # twenty rows on one side, whatever the table holds
-    return p.join(F.broadcast(s))
+    """Author pairs of the dyads whose focal author is a seed researcher."""
+    pairs = dyads.author_pairs(_dyads(spark, d).select(*_DYAD_COLUMNS)).select("source", "target").where("source is not null and target is not null").distinct()
+    return pairs.join(views.seeds(spark, d).withColumnRenamed("id", "source"), "source", "left_semi")
 
 
 def _hops(spark, d):
     return graph.hops_in_memory(_edges(spark, d), _pairs(spark, d))
 
 
-_BFS = f"""{views.EDGES_SQL}, adj AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), pairs AS (SELECT s.p_partkey AS source, t.p_partkey AS target FROM (SELECT p_partkey FROM part ORDER BY p_partkey LIMIT 20) s, part t
+_BFS = f"""RECURSIVE {views.EDGES_SQL}, {_DYADS[_DYADS.index("dy AS (") :]}, adj AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), pairs AS (
+  SELECT DISTINCT unnest([focal_first_author_researcher_id, focal_last_author_researcher_id, focal_first_author_researcher_id, focal_last_author_researcher_id]) AS source,
+    unnest([cited_first_author_researcher_id, cited_last_author_researcher_id, cited_last_author_researcher_id, cited_first_author_researcher_id]) AS target FROM dy
 ), walk(source, node, d) AS (
-  SELECT DISTINCT p.source, p.source, 0 FROM pairs p WHERE p.source IN (SELECT src FROM adj)
-  UNION SELECT w.source, a.dst, w.d + 1 FROM walk w JOIN adj a ON a.src = w.node WHERE w.d < 8
+  SELECT DISTINCT p.source, p.source, 0 FROM pairs p WHERE p.source IN (SELECT src FROM adj) AND p.source IN (SELECT id FROM seeds)
+  UNION SELECT w.source, a.dst, w.d + 1 FROM walk w JOIN adj a ON a.src = w.node WHERE w.d < 10
 ), near AS (SELECT source, node, min(d) AS d FROM walk GROUP BY ALL
-), hops AS (SELECT p.source, p.target, CASE WHEN p.source IN (SELECT src FROM adj) AND p.target IN (SELECT src FROM adj) THEN coalesce(n.d, -1) END::INT AS d FROM pairs p LEFT JOIN near n ON n.source = p.source AND n.node = p.target)"""
-_BFS = "RECURSIVE " + _BFS
+), hops AS (
+  SELECT p.source, p.target, CASE WHEN p.source IN (SELECT src FROM adj) AND p.target IN (SELECT src FROM adj) THEN coalesce(n.d, -1) END::INT AS d
+  FROM pairs p LEFT JOIN near n ON n.source = p.source AND n.node = p.target WHERE p.source IN (SELECT id FROM seeds) AND p.target IS NOT NULL)"""
 
 
 @query("bfs_distances", f"WITH {_BFS} SELECT source, target, d FROM hops")
@@ -472,9 +473,9 @@ def _venue(spark, d):
     return views.table(spark, d, "documents").select("doc_id", text.venue_of(_doi_like(F.col("doc_id"))).alias("venue"))
 
 
-@query("model_slug", "SELECT doc_id, trim(regexp_replace(left(text, 40), '[^\\p{L}\\p{N}\\-_.]', '_', 'g'), '_') AS slug FROM documents")
+@query("model_slug", "SELECT doc_id, trim(regexp_replace(text, '[^\\p{L}\\p{N}\\-_.]', '_', 'g'), '_') AS slug FROM documents")
 def _slug(spark, d):
-    return views.table(spark, d, "documents").select("doc_id", text.model_slug(F.substring("text", 1, 40)).alias("slug"))
+    return views.table(spark, d, "documents").select("doc_id", text.model_slug(F.col("text")).alias("slug"))
 
 
 @query("doi_norm", f"WITH {views.REFS_SQL} SELECT row_uid, doi_key, title_key, year_hint FROM refs")
@@ -483,12 +484,12 @@ def _doi(spark, d):
 
 
 @query("clean_text", r"""SELECT doc_id, CASE WHEN length(t) <= 600 THEN t ELSE left(t, 600) || '...' END AS cleaned FROM (
-  SELECT doc_id, trim(regexp_replace(regexp_replace('see [CITE] and ' || text || ' done', '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10) || chr(9)) AS t
-  FROM documents WHERE NOT contains(text, '\') AND NOT contains(text, '$'))""")
+  SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace('see [CITE] and ' || text || ' done', '\$\$.*?\$\$', '[MATH]', 'gs'),
+    '\$([^$\n]{1,200})\$', chr(1) || '\1' || chr(2), 'g'), '\x01[^\x02]{11,}\x02', '[MATH]', 'g'), '\x01[^\x02]*\x02', '', 'g'), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10) || chr(9)) AS t
+  FROM documents)""")
 def _clean(spark, d):
-    docs = views.table(spark, d, "documents").where(~F.contains("text", F.lit("\\")) & ~F.contains("text", F.lit("$")))
-    t = F.concat(F.lit(r"see \citep*{a,b} and \emph{"), F.col("text"), F.lit(r"}\label{x} done\footnote{gone}"))
-    return docs.select("doc_id", text.clean_snippet(t).alias("cleaned"))
+    t = F.concat(F.lit(r"see \citep*{a,b} and "), F.col("text"), F.lit(r"\label{x} done\footnote{gone}"))
+    return views.table(spark, d, "documents").select("doc_id", text.clean_snippet(t).alias("cleaned"))
 
 
 @query("parse_json", "SELECT event_id, try_cast(json_extract_string(props, '$.' || (json_keys(props)[1])) AS VARCHAR) AS first_value FROM events WHERE json_valid(props)")
