@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import partitions, read
+from quillgraph.llm.common import mapped, partitions, read
 
 # The template's own marks, and marks of other templates, which texts may not show unescaped either.
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
@@ -84,7 +84,7 @@ def segments(turns: DataFrame, path: str, learn: str = "assistant") -> DataFrame
                 ids.append(x.tobytes()), loss.append(m.tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary()), pa.array(loss, pa.binary())], ["conv_id", "turn", "ids", "loss"])
 
-    return turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").alias("role"), F.col("text").alias("text")).mapInArrow(run, SEGMENTS)
+    return mapped(turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").alias("role"), F.col("text").alias("text")), run, SEGMENTS)
 
 
 def in_order(rows: DataFrame) -> DataFrame:
@@ -145,7 +145,7 @@ def read_back(ordered: DataFrame, path: str) -> DataFrame:
             done.append(at.row())
             yield out()
 
-    return ordered.mapInArrow(run, FORMATTED)
+    return mapped(ordered, run, FORMATTED)
 
 
 def op7_chat_format(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:

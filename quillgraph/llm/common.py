@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,6 +42,20 @@ def id_remainder(doc_id: Column, m: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(m))
 
 
+#: Rows and bytes of the batches that go to Python workers; by Spark's own setting a batch of long texts takes hundreds of megabytes.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8388608"}
+
+
+def mapped(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """df.mapInArrow in batches of bounded size. The session keeps the setting, unless it has one of its own."""
+    conf = df.sparkSession.conf
+    own = df.sparkSession.sparkContext.getConf()
+    for k, v in BATCH.items():
+        if own.get(k) is None:
+            conf.set(k, v)
+    return df.mapInArrow(run, schema)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

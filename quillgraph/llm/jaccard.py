@@ -6,13 +6,12 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import cut, memo, partitions, read
+from quillgraph.llm.common import cut, mapped, memo, partitions, read
 from quillgraph.llm.components import components
 
 #: Sizes of sets fall into classes whose bounds grow by this factor.
@@ -23,8 +22,10 @@ SLICES = 64
 FRAGMENTS = 4
 #: Buckets up to this size give all their pairs at once; larger ones go by a pivot, and by rarity where that leaves them torn.
 SMALL = 6
-#: Words that a worker remembers; bits of the filter for the second reading of texts.
-MEMORY, FILTER_BITS = 300_000, 1 << 24
+#: Words that a worker remembers; documents whose signatures it gathers; bits of the filter for the second reading of texts.
+MEMORY, ROWS, FILTER_BITS = 100_000, 1000, 1 << 24
+#: Ids of eight bytes that may be broadcast.
+MOST_BROADCAST = 2_000_000
 _U = np.uint64
 META = np.dtype([("id", "<i8"), ("null", "u1"), ("key", "<i8"), ("n", "<i4"), ("slices", "u1", (SLICES,))])
 
@@ -123,28 +124,30 @@ def signatures(s: np.ndarray, percent: int) -> np.ndarray:
 
 
 def gathered(batches: Iterator[pa.RecordBatch], width: int, percent: int, parts: int) -> Iterator[pa.RecordBatch]:
-    """For each batch and part one row of signatures and one of documents, both packed."""
+    """For every ROWS documents and each part one row of signatures and one of documents, both packed."""
     shingler, known = Shingler(width), set()
     for batch in batches:
-        meta = np.zeros(batch.num_rows, META)
-        sigs, keys = [], []
-        for i, (doc, value) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1), strict=True)):
-            s = shingler.set_of(value.as_py())
-            key = key_of(s)
-            meta[i] = doc or 0, doc is None, key, len(s), np.bincount((s >> _U(58)).astype(np.int64), minlength=SLICES).clip(max=255)
-            if len(s) and key not in known:
-                if len(known) > MEMORY:
-                    known.clear()
-                known.add(key)
-                sigs.append(signatures(s, percent))
-                keys.append(np.full(len(sigs[-1]), key, np.int64))
-        rows: list[tuple[int, int, bytes]] = []
-        if sigs:
-            both = np.stack([np.concatenate(sigs).view(np.int64), np.concatenate(keys)], 1)
-            rows += [(0, p, both[at].tobytes()) for p, at in split(both[:, 0].view(_U), parts)]
-        rows += [(1, p, meta[at].tobytes()) for p, at in split(meta["key"].view(_U), parts)]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)], ["kind", "part", "data"])
+        for at in range(0, batch.num_rows, ROWS):
+            part = batch.slice(at, ROWS)
+            meta = np.zeros(part.num_rows, META)
+            sigs, keys = [], []
+            for i, (doc, value) in enumerate(zip(part.column(0).to_pylist(), part.column(1), strict=True)):
+                s = shingler.set_of(value.as_py())
+                key = key_of(s)
+                meta[i] = doc or 0, doc is None, key, len(s), np.bincount((s >> _U(58)).astype(np.int64), minlength=SLICES).clip(max=255)
+                if len(s) and key not in known:
+                    if len(known) > MEMORY:
+                        known.clear()
+                    known.add(key)
+                    sigs.append(signatures(s, percent))
+                    keys.append(np.full(len(sigs[-1]), key, np.int64))
+            rows: list[tuple[int, int, bytes]] = []
+            if sigs:
+                both = np.stack([np.concatenate(sigs).view(np.int64), np.concatenate(keys)], 1)
+                rows += [(0, p, both[x].tobytes()) for p, x in split(both[:, 0].view(_U), parts)]
+            rows += [(1, p, meta[x].tobytes()) for p, x in split(meta["key"].view(_U), parts)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)], ["kind", "part", "data"])
 
 
 def split(values: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -208,14 +211,17 @@ def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # --- overlaps ------------------------------------------------------------------------------------------------------
 
 
-def enough(batches: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFrame]:
-    """Pairs whose count vectors allow the overlap that a link needs: no slice can hold more common ones than its smaller count."""
-    for f in batches:
-        x, y = (np.frombuffer(b"".join(f[c]), np.uint8).reshape(-1, SLICES).astype(np.int32) for c in ("sa", "sb"))
+def enough(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Pairs whose count vectors allow the overlap that a link needs: no slice can hold more common ones than its smaller count.
+
+    Columns: a, b, the sizes and the count vectors; the vectors don't come out.
+    """
+    for batch in batches:
+        x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, SLICES).astype(np.int32) for i in (4, 5))
         full = ((x == 255) & (y == 255)).any(1)  # counts stop at 255: then the vectors tell nothing
-        total = f["na"].to_numpy(np.int64) + f["nb"].to_numpy(np.int64)
-        f = f[full | (np.minimum(x, y).sum(1) * (100 + percent) >= percent * total)]
-        yield f[["a", "b", "na", "nb"]]
+        total = batch.column(2).to_numpy().astype(np.int64) + batch.column(3).to_numpy()
+        ok = full | (np.minimum(x, y).sum(1) * (100 + percent) >= percent * total)
+        yield batch.select([0, 1, 2, 3]).filter(pa.array(ok))
 
 
 def packed(s: np.ndarray) -> list[bytes]:
@@ -247,8 +253,8 @@ class Join:
         def first(batches):
             return gathered(batches, width, percent, n)
 
-        rows = self.docs.mapInArrow(first, "kind int, part int, data binary")
-        self.rows = cut(rows.repartition(n, "part").mapInArrow(grouped, GROUPED))
+        rows = mapped(self.docs, first, "kind int, part int, data binary")
+        self.rows = cut(mapped(rows.repartition(n, "part"), grouped, GROUPED))
         self.meta = self.rows.where("kind = 0").select(F.col("a").alias("id"), F.col("b").alias("key"), "n")
         # a key's documents are all in one partition, so exactly one row has the count vector
         self.nodes = self.rows.where("kind = 0 and data is not null").select(F.col("b").alias("key"), "n", F.col("data").alias("slices"))
@@ -260,7 +266,7 @@ class Join:
         a, b = (self.nodes.select(F.col("key").alias(x), F.col("n").alias(f"n{x}"), F.col("slices").alias(f"s{x}")) for x in "ab")
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct()
         both = pairs.join(a, "a").join(b, "b").where(100 * F.least("na", "nb") >= p * F.greatest("na", "nb"))
-        return both.mapInPandas(lambda x: enough(x, p), "a long, b long, na int, nb int")
+        return mapped(both.select("a", "b", "na", "nb", "sa", "sb"), lambda x: enough(x, p), "a long, b long, na int, nb int")
 
     def read_sets(self, keys: DataFrame) -> None:
         """The packed sets of the keys, from a second reading of the texts.
@@ -270,9 +276,11 @@ class Join:
         picked = self.meta.join(keys.select("key").distinct(), "key").groupBy("key").agg(F.min("id").alias("id"), F.max(F.col("id").isNull()).alias("null"))
         bits = FILTER_BITS
         slot = F.pmod(F.crc32(F.col("id").cast("string").cast("binary")), F.lit(bits))
-        words = picked.where("id is not null").select(slot.alias("s")).groupBy((F.col("s") / 32).cast("int").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 32 as int))")).alias("w")).toPandas()
+        words = picked.where("id is not null").select(slot.alias("s")).groupBy((F.col("s") / 32).cast("int").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 32 as int))")).alias("w"))
+        # at most a row for each of the filter's words
+        got = words.toArrow()
         table = np.zeros(bits // 32, np.uint32)
-        table[words["at"].to_numpy()] = words["w"].to_numpy().astype(np.uint32)
+        table[got.column("at").to_numpy()] = got.column("w").to_numpy().astype(np.uint32)
         shared, width = self.docs.sparkSession.sparkContext.broadcast(table), self.width
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,16 +290,18 @@ class Join:
                 null = batch.column(0).is_null().to_numpy(zero_copy_only=False)
                 at = np.where(null, 0, slots).astype(np.int64)
                 hit = null | (held[at // 32] >> (at % 32).astype(np.uint32) & 1).astype(bool)
-                rows = []
-                for i in np.flatnonzero(hit).tolist():
-                    s = shingler.set_of(batch.column(1)[i].as_py())
-                    if len(s):
-                        key = key_of(s)
-                        rows += [(key, k, x) for k, x in enumerate(packed(s))]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], ["key", "f", "x"])
-
-        again = self.docs.select("id", "text", slot.alias("slot")).mapInArrow(run, "key long, f int, x binary")
+                found = np.flatnonzero(hit).tolist()
+                for n in range(0, len(found), ROWS):
+                    rows = []
+                    for i in found[n : n + ROWS]:
+                        s = shingler.set_of(batch.column(1)[i].as_py())
+                        if len(s):
+                            key = key_of(s)
+                            rows += [(key, k, x) for k, x in enumerate(packed(s))]
+                    if rows:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], ["key", "f", "x"])
+
+        again = mapped(self.docs.select("id", "text", slot.alias("slot")), run, "key long, f int, x binary")
         self.sets = cut(again.join(picked.select("key"), "key", "left_semi").groupBy("key", "f").agg(F.first("x").alias("x")))
 
     def links(self, pairs: DataFrame) -> DataFrame:
@@ -303,7 +313,7 @@ class Join:
                 yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(n, pa.int32())], ["a", "b", "na", "nb", "n"])
 
         a, b = (self.sets.select(F.col("key").alias(k), "f", F.col("x").alias(f"x{k}")) for k in "ab")
-        met = pairs.join(a, "a").join(b, ["b", "f"]).select("a", "b", "na", "nb", "xa", "xb").mapInArrow(run, "a long, b long, na int, nb int, n int")
+        met = mapped(pairs.join(a, "a").join(b, ["b", "f"]).select("a", "b", "na", "nb", "xa", "xb"), run, "a long, b long, na int, nb int, n int")
         total = met.groupBy("a", "b", "na", "nb").agg(F.sum("n").alias("n"))
         return total.where(100 * F.col("n") >= self.percent * (F.col("na") + F.col("nb") - F.col("n"))).select("a", "b")
 
@@ -320,7 +330,7 @@ class Join:
                         x = keys[i : i + 50_000]
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), bucket)), pa.array(np.full(len(x), size, np.int64)), pa.array(x)], ["bucket", "size", "key"])
 
-        members = cut(buckets.mapInArrow(opened, "bucket long, size long, key long"))
+        members = cut(mapped(buckets, opened, "bucket long, size long, key long"))
         first = cut(self.possible(small))
         self.read_sets(first.select(F.col("a").alias("key")).unionByName(first.select(F.col("b").alias("key"))).unionByName(members.select("key")))
         found = self.links(first)
@@ -358,7 +368,7 @@ class Join:
                     t = unpacked(x).astype(np.int64) + (f << 40)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(t), key)), pa.array(t)], ["key", "token"])
 
-        tokens = self.sets.join(rest.select("key"), "key", "left_semi").select("key", "f", "x").mapInArrow(opened, "key long, token long")
+        tokens = mapped(self.sets.join(rest.select("key"), "key", "left_semi").select("key", "f", "x"), opened, "key long, token long")
         often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("often"))
         ordered = tokens.join(often, "token").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("often", "token"))).alias("all")).join(rest, "key").withColumn("n", F.size("all").cast("long"))
         first = ordered.select("key", "root", "n", F.posexplode(F.slice("all", 1, (F.col("n") - F.ceil(F.col("n") * p / 100.0) + 1).cast("int"))).alias("at", "t"))
@@ -400,13 +410,21 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
 
     Documents without words and with a null doc_id stay. Of rows that repeat an id and a text one stays.
     """
-    found = groups(docs, width, percent)
-    gone = found.where("component_id is not null and doc_id is not null and doc_id != component_id").select(F.col("doc_id").alias("q_id")).distinct()
-    left = docs.join(gone, F.col("doc_id").cast("long") == F.col("q_id"), "left_anti")
-    again = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("q_id"))
+    found = cut(groups(docs, width, percent).where("doc_id is not null"))
+    name = next(f"q_id{i}" for i in range(len(docs.columns) + 1) if f"q_id{i}" not in docs.columns)
+    same = F.col("doc_id").cast("long") == F.col(name)
+
+    def small(ids: DataFrame) -> DataFrame:
+        # so few ids go to every executor; more than that, and both sides are shuffled
+        return F.broadcast(ids) if ids.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else ids
+
+    gone = small(found.where("doc_id != component_id").select(F.col("doc_id").alias(name)).distinct())
+    left = docs.join(gone, same, "left_anti")
+    again = found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(name))
     if again.isEmpty():
         return left
-    return left.join(again, F.col("doc_id").cast("long") == F.col("q_id"), "left_anti").unionByName(left.join(again, F.col("doc_id").cast("long") == F.col("q_id"), "left_semi").dropDuplicates(["doc_id", "text"]))
+    again = small(again)
+    return left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

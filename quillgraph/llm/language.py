@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import bounded_sample, id_remainder, read
+from quillgraph.llm.common import bounded_sample, id_remainder, mapped, read
 from quillgraph.llm.zdict import Codec, content
 
 LETTER = re.compile(r"[^\W\d_]")
@@ -60,7 +60,7 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes], held_out: Column,
                 rejected.append(len(sizes) > 1 and sizes[1][0] - least < margin * least)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], ["doc_id", "held_out", "lang_pred", "score", "rejected"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), held_out.alias("held_out")).mapInArrow(run, SCHEMA)
+    return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), held_out.alias("held_out")), run, SCHEMA)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import memo, read
+from quillgraph.llm.common import mapped, memo, read
 
 UNIT = 64
 #: Bits that the first scan of a band leaves to refinements.
@@ -455,7 +455,7 @@ def media(docs: DataFrame, tensors: bool = False) -> DataFrame:
                 rows = [one(d, t.as_py()) for d, t in zip(part.column(0).to_pylist(), part.column(1), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), types, strict=True)], names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInArrow(run, schema)
+    return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")), run, schema)
 
 
 def op1_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,12 +7,11 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import cut, read
+from quillgraph.llm.common import cut, mapped, read
 
 LENGTH = 2048
 #: Pieces of one length are ranked in so many groups by a hash, so that no length gathers in one task.
@@ -68,7 +67,7 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH, end: int = 0) -> Da
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInArrow(run, PIECES)
+    return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")), run, PIECES)
 
 
 def best_fit(counts: dict[int, int], room: int = LENGTH) -> np.ndarray:
@@ -127,29 +126,31 @@ def place(parts: DataFrame, length: int = LENGTH) -> DataFrame:
     (at most `length` of them) give the runs that best_fit() places; each document finds its run by its rank.
     """
     parts = cut(parts).withColumn("q_group", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(GROUPS)).cast("int"))
-    sizes = parts.groupBy("length", "q_group").agg(F.count(F.lit(1)).alias("n")).toPandas().sort_values(["length", "q_group"])
     # at most length * GROUPS rows
-    sizes["before"] = sizes.groupby("length")["n"].cumsum() - sizes["n"]
-    runs = best_fit({int(k): int(v) for k, v in sizes.groupby("length")["n"].sum().items()}, length)
+    sizes = parts.groupBy("length", "q_group").agg(F.count(F.lit(1)).alias("n")).orderBy("length", "q_group").toArrow()
+    size, group, n = (sizes.column(c).to_numpy().astype(np.int64) for c in ("length", "q_group", "n"))
+    first = np.searchsorted(size, size)
+    total = np.concatenate([[0], np.cumsum(n)])
+    before = total[:-1] - total[first]
+    every, last = np.unique(size, return_index=True)
+    runs = best_fit(dict(zip(every.tolist(), np.add.reduceat(n, last).tolist() if len(n) else [], strict=True)), length)
     runs = runs[np.lexsort((runs[:, 1], runs[:, 0]))]
-    shared = parts.sparkSession.sparkContext.broadcast((sizes["length"].to_numpy(np.int64) * GROUPS + sizes["q_group"].to_numpy(np.int64), sizes["before"].to_numpy(np.int64), runs))
+    shared = parts.sparkSession.sparkContext.broadcast((size * GROUPS + group, before, runs))
     ranked = parts.withColumn("q_rank", F.row_number().over(Window.partitionBy("length", "q_group").orderBy("doc_id", "piece", "start", "ids_crc32")) - 1)
+    names = [x for x in parts.columns if x != "q_group"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, before, table = shared.value
         wide = 1 << 44
         starts = table[:, 0] * wide + table[:, 1]
-        for f in batches:
-            n = f["length"].to_numpy(np.int64)
-            rank = f["q_rank"].to_numpy(np.int64) + before[np.searchsorted(keys, n * GROUPS + f["q_group"].to_numpy(np.int64))]
-            at = np.searchsorted(starts, n * wide + rank, side="right") - 1
-            f["sequence_id"] = table[at, 3] + rank - table[at, 1]
-            f["offset"] = table[at, 4]
-            yield f.drop(columns=["q_group", "q_rank"])
+        for batch in batches:
+            size, group, rank = (batch.column(c).to_numpy().astype(np.int64) for c in ("length", "q_group", "q_rank"))
+            rank = rank + before[np.searchsorted(keys, size * GROUPS + group)]
+            at = np.searchsorted(starts, size * wide + rank, side="right") - 1
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(table[at, 3] + rank - table[at, 1]), pa.array(table[at, 4])], [*names, "sequence_id", "offset"])
 
-    names = [x for x in parts.columns if x != "q_group"]
     schema = ", ".join(f"{c} {dict(parts.dtypes)[c]}" for c in names) + ", sequence_id bigint, offset bigint"
-    return ranked.select(*names, "q_group", "q_rank").mapInPandas(run, schema)
+    return mapped(ranked.select(*names, "q_group", "q_rank"), run, schema)
 
 
 def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import bounded_sample, read
+from quillgraph.llm.common import bounded_sample, mapped, read
 
 KINDS = ("email", "ip", "card", "phone")
 #: Characters of a window, and from one window's start to the next; a span of up to WINDOW - STRIDE lies whole in one.
@@ -380,7 +380,7 @@ def find(docs: DataFrame, params: dict[str, np.ndarray]) -> DataFrame:
             digests = pa.array([hashlib.sha256(joined(b).encode()).hexdigest() for b, _ in found], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), *counts, digests, pa.array([joined(b + a) for b, a in found], pa.string()), pa.array([len(a) for _, a in found], pa.int64())], [c.split()[0] for c in SCHEMA.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInArrow(run, SCHEMA)
+    return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")), run, SCHEMA)
 
 
 def redact(docs: DataFrame, params: dict[str, np.ndarray]) -> DataFrame:
@@ -404,7 +404,7 @@ def redact(docs: DataFrame, params: dict[str, np.ndarray]) -> DataFrame:
             new = [None if t is None else clean(t, b + a) for t, (b, a) in zip(texts, found, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if i == place else c for i, c in enumerate(batch.columns)], batch.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run, docs.schema)
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

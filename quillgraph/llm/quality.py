@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import bounded_sample, id_remainder, read, spread
+from quillgraph.llm.common import bounded_sample, id_remainder, mapped, read, spread
 from quillgraph.llm.zdict import Codec, content
 
 #: Level of compression and bytes of a piece: short pieces keep the dictionary, not the text itself, in command.
@@ -93,7 +93,7 @@ def classify(docs: DataFrame, model: Model, held_out: Column) -> DataFrame:
             s = np.array([score(v.as_py()) for v in batch.column(1)], dtype=float)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), held_out.alias("held_out")).mapInArrow(run, SCHEMA)
+    return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), held_out.alias("held_out")), run, SCHEMA)
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,14 +12,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import bounded_sample, id_remainder, read
+from quillgraph.llm.common import bounded_sample, id_remainder, mapped, read
 
 TOKEN = re.compile(r"\w+")
 #: Letters of a word's beginning that have an embedding of their own, added to the word's.
 PREFIX = 4
 DIM, FILTERS, WIDTHS = 8, 8, (1, 2, 3)
 #: Languages that get a threshold of their own, the most frequent first; words that a worker remembers.
-LANGUAGES, MEMORY = 16, 200_000
+LANGUAGES, MEMORY = 16, 60_000
+#: Rows of each class from which a threshold is trusted.
+FEW = 15
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 
 
@@ -112,11 +114,12 @@ def train(texts: list[str], y: np.ndarray, langs: list[str | None], epochs: int
     least two texts get one. Adagrad on minibatches; a max-pooled filter learns from the position that won.
     """
     rng = np.random.default_rng(seed)
-    docs = [TOKEN.findall(t.lower()) for t in texts]
-    vocab = {w: i for i, w in enumerate(dict.fromkeys(w for d in docs for w in d))}
+    vocab: dict[str, int] = {}
+    # text by text, so that the words themselves are kept once
+    words = [np.array([vocab.setdefault(w, len(vocab)) for w in TOKEN.findall(t.lower())], dtype=np.int32) for t in texts]
     pair = np.array([hashes(w) for w in vocab], dtype=np.int64).reshape(-1, 2)
-    train_rows = rng.random(len(docs)) < 0.75 if len(docs) >= 40 else np.ones(len(docs), bool)
-    words = [np.array([vocab[w] for w in d], dtype=np.int64) for d in docs]
+    del vocab
+    train_rows = rng.random(len(words)) < 0.75 if len(words) >= 40 else np.ones(len(words), bool)
     ids, back = np.unique(pair, return_inverse=True)
     back = back.reshape(-1, 2)
     names = [k for k, _ in sorted({k: langs.count(k) for k in set(langs) if k is not None}.items(), key=lambda x: (-x[1], x[0]))[:LANGUAGES]]
@@ -196,11 +199,11 @@ def train(texts: list[str], y: np.ndarray, langs: list[str | None], epochs: int
             table[-1] = 0
     model = Model(ids[kept] if len(kept) else np.array([-1]), table[:-1] if len(kept) else np.zeros((1, DIM), np.float32), taps, bias, dense, rest, spoken if len(kept) else np.zeros((1, max(1, len(names))), np.float32), np.array([[1.0, 0.0]] * (len(names) + 1)))
     scorer = Scorer(model)
-    checked = np.flatnonzero(~train_rows) if not train_rows.all() else np.arange(len(docs))
+    checked = np.flatnonzero(~train_rows) if not train_rows.all() else np.arange(len(words))
     found = [(*scorer.logit(texts[i]), y[i]) for i in checked]
     z, guess, truth = (np.array(v) for v in zip(*found, strict=True)) if found else (np.zeros(0),) * 3
     everyone = threshold(z, truth)
-    lines = [threshold(z[guess == k], truth[guess == k]) if min((truth[guess == k] == c).sum() for c in (0, 1)) >= 15 else everyone for k in range(len(names))]
+    lines = [threshold(z[guess == k], truth[guess == k]) if min((truth[guess == k] == c).sum() for c in (0, 1)) >= FEW else everyone for k in range(len(names))]
     return Model(*astuple(model)[:-1], np.array([*lines, everyone]))
 
 
@@ -216,8 +219,11 @@ def threshold(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     width = np.diff(edge)
     ok = (gain >= gain.max() - 1e-9) & (width > 0)
     i = int(np.where(ok, width, -1).argmax())
-    gap = v[k == 1].mean() - v[k == 0].mean()
-    return float(6 / max(gap, 1e-3)) if gap > 0 else 1.0, float((edge[i] + edge[i + 1]) / 2)
+    gap, shift = v[k == 1].mean() - v[k == 0].mean(), (edge[i] + edge[i + 1]) / 2
+    if min((k == c).sum() for c in (0, 1)) < FEW:
+        # a stretch between so few rows says little: stay clear of what class 0 may reach
+        shift = max(shift, v[k == 0].mean() + 2 * v[k == 0].std())
+    return float(6 / max(gap, 1e-3)) if gap > 0 else 1.0, float(shift)
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = 3000) -> Model:
@@ -251,7 +257,7 @@ def classify(docs: DataFrame, model: Model, held_out: Column) -> DataFrame:
             s = np.array([scorer.score(v.as_py()) for v in batch.column(1)], dtype=float)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), held_out.alias("held_out")).mapInArrow(run, SCHEMA)
+    return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), held_out.alias("held_out")), run, SCHEMA)
 
 
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
@@ -263,7 +269,7 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array([scorer.score(v.as_py()) < 0.5 for v in batch.column(place)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run, docs.schema)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
