@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 from collections.abc import Callable
@@ -37,6 +38,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files that cut() made unreachable.
+
+    It does so when the driver's garbage is collected, which else happens rarely; until then they fill the disks.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def id_remainder(doc_id: Column, m: int) -> Column:
     """crc32 of the id written as decimal text, modulo m."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(m))

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import cut, mapped, memo, partitions, read
+from quillgraph.llm.common import cut, mapped, memo, partitions, read, sweep
 from quillgraph.llm.components import components
 
 #: Sizes of sets fall into classes whose bounds grow by this factor.
@@ -255,6 +255,8 @@ class Join:
 
         rows = mapped(self.docs, first, "kind int, part int, data binary")
         self.rows = cut(mapped(rows.repartition(n, "part"), grouped, GROUPED))
+        del rows
+        sweep(docs.sparkSession)
         self.meta = self.rows.where("kind = 0").select(F.col("a").alias("id"), F.col("b").alias("key"), "n")
         # a key's documents are all in one partition, so exactly one row has the count vector
         self.nodes = self.rows.where("kind = 0 and data is not null").select(F.col("b").alias("key"), "n", F.col("data").alias("slices"))
@@ -303,6 +305,8 @@ class Join:
 
         again = mapped(self.docs.select("id", "text", slot.alias("slot")), run, "key long, f int, x binary")
         self.sets = cut(again.join(picked.select("key"), "key", "left_semi").groupBy("key", "f").agg(F.first("x").alias("x")))
+        del again, picked, words
+        sweep(self.docs.sparkSession)
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """Of possible pairs those that link: overlaps are counted by fragment and summed by pair."""
@@ -342,6 +346,7 @@ class Join:
         open_ = members.join(weight, "key").select("bucket", "key", "weight").withColumn("root", F.col("key"))
         pivots = open_.groupBy("bucket").agg(F.max(F.struct("weight", "key")).alias("p")).select("bucket", F.col("p.key").alias("pivot"))
         found = cut(found.unionByName(self.links(self.possible(self._against(open_, pivots)))))
+        sweep(self.docs.sparkSession)
         roots = components(found)
         # pairs with a pivot are settled, and so are pairs within a component
         rest = open_.drop("root").join(pivots, "bucket").where("key != pivot").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
@@ -349,7 +354,9 @@ class Join:
         rest = cut(rest.join(torn, "bucket", "left_semi").select("key", "root").distinct())
         if rest.isEmpty():
             return found, roots
+        sweep(self.docs.sparkSession)
         found = cut(found.unionByName(self.links(self.possible(self._by_rarity(rest)))))
+        sweep(self.docs.sparkSession)
         return found, components(found)
 
     def _by_rarity(self, rest: DataFrame) -> DataFrame:
@@ -374,6 +381,8 @@ class Join:
         first = ordered.select("key", "root", "n", F.posexplode(F.slice("all", 1, (F.col("n") - F.ceil(F.col("n") * p / 100.0) + 1).cast("int"))).alias("at", "t"))
         # a shingle of one set alone leads to no pair, but takes its place in the order
         entries = cut(first.where("t.often > 1").select("key", "root", "n", F.col("t.token").alias("token"), (F.col("n") - F.col("at")).alias("left")))
+        del tokens, often, ordered, first
+        sweep(self.docs.sparkSession)
         a, b = (entries.select("token", *(F.col(c).alias(f"{c}_{x}") for c in ("key", "root", "n", "left"))) for x in "ab")
         need = p * (F.col("n_a") + F.col("n_b"))
         met = a.where(2 * p * F.col("n_a") <= (100 + p) * F.col("left_a")).join(b, "token")
