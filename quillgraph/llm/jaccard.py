@@ -24,6 +24,8 @@ FRAGMENTS = 4
 SMALL = 6
 #: Words that a worker remembers; documents whose signatures it gathers; bits of the filter for the second reading of texts.
 MEMORY, ROWS, FILTER_BITS = 100_000, 1000, 1 << 24
+#: Slots in which shingles are counted to order them by rarity.
+SLOTS = 1 << 22
 #: Ids of eight bytes that may be broadcast.
 MOST_BROADCAST = 2_000_000
 _U = np.uint64
@@ -238,6 +240,15 @@ def unpacked(x: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def tokens_of(f: int, x: bytes) -> np.ndarray:
+    """A fragment's shingles as numbers that differ between fragments."""
+    return unpacked(x).astype(np.int64) + (f << 40)
+
+
+def slot_of(tokens: np.ndarray) -> np.ndarray:
+    return (mixed(tokens.astype(_U)) % _U(SLOTS)).astype(np.int64)
+
+
 def overlap(a: bytes, b: bytes) -> int:
     return len(np.intersect1d(unpacked(a), unpacked(b), assume_unique=True))
 
@@ -366,22 +377,43 @@ class Join:
         share stands after shingles that the other lacks; so what is left from there on must hold the overlap that a
         link needs. A set for which that fails even with a partner of its own size can only meet one that stands
         better: two of them never need a look. That settles copies of one text that differ too much to link.
+
+        Any order that all sets keep to is right, so shingles are counted by slot of a table of fixed size; shingles
+        that meet in one slot only make it less sharp. All sets are counted.
         """
         p = self.percent
 
-        def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            n = np.zeros(SLOTS, np.int32)
+            for batch in batches:
+                for f, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    np.add.at(n, slot_of(tokens_of(f, x)), 1)
+            at = np.flatnonzero(n)
+            for i in range(0, len(at), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(at[i : i + 100_000].astype(np.int32)), pa.array(n[at[i : i + 100_000]])], ["slot", "n"])
+
+        mine = self.sets.join(rest, "key")
+        # at most SLOTS rows, whatever the sets hold
+        got = mapped(mine.select("f", "x"), counted, "slot int, n int").groupBy("slot").agg(F.least(F.sum("n"), F.lit(1 << 30)).cast("int").alias("n")).toArrow()
+        table = np.zeros(SLOTS, np.int32)
+        table[got.column("slot").to_numpy()] = got.column("n").to_numpy()
+        del got
+        shared = rest.sparkSession.sparkContext.broadcast(table)
+
+        def ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            often = shared.value
             for batch in batches:
-                for key, f, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    t = unpacked(x).astype(np.int64) + (f << 40)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(t), key)), pa.array(t)], ["key", "token"])
-
-        tokens = mapped(self.sets.join(rest.select("key"), "key", "left_semi").select("key", "f", "x"), opened, "key long, token long")
-        often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("often"))
-        ordered = tokens.join(often, "token").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("often", "token"))).alias("all")).join(rest, "key").withColumn("n", F.size("all").cast("long"))
-        first = ordered.select("key", "root", "n", F.posexplode(F.slice("all", 1, (F.col("n") - F.ceil(F.col("n") * p / 100.0) + 1).cast("int"))).alias("at", "t"))
-        # a shingle of one set alone leads to no pair, but takes its place in the order
-        entries = cut(first.where("t.often > 1").select("key", "root", "n", F.col("t.token").alias("token"), (F.col("n") - F.col("at")).alias("left")))
-        del tokens, often, ordered, first
+                for key, root, parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    t = np.concatenate([tokens_of(q["f"], q["x"]) for q in parts])
+                    c, n = often[slot_of(t)], len(t)
+                    first = np.lexsort((t, c))[: n + (-p * n // 100) + 1]
+                    # a shingle of one set alone leads to no pair, but takes its place in the order
+                    at = np.flatnonzero(c[first] > 1)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), v)) for v in (key, root, n)] + [pa.array(t[first[at]]), pa.array(n - at)], ["key", "root", "n", "token", "left"])
+
+        whole = mine.groupBy("key", "root").agg(F.collect_list(F.struct("f", "x")).alias("parts"))
+        entries = cut(mapped(whole, ordered, "key long, root long, n long, token long, left long"))
+        del mine, whole
         sweep(self.docs.sparkSession)
         a, b = (entries.select("token", *(F.col(c).alias(f"{c}_{x}") for c in ("key", "root", "n", "left"))) for x in "ab")
         need = p * (F.col("n_a") + F.col("n_b"))
