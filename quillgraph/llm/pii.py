@@ -383,25 +383,33 @@ def find(docs: DataFrame, params: dict[str, np.ndarray]) -> DataFrame:
     return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")), run, SCHEMA)
 
 
-def redact(docs: DataFrame, params: dict[str, np.ndarray]) -> DataFrame:
-    """docs with each span of `text` replaced by its kind in angle brackets; of overlapping spans the first, then longest, counts. Null stays null."""
-    shared, names = docs.sparkSession.sparkContext.broadcast(params), docs.columns
-    place = names.index("text")
+def without(text: str, spans: list[tuple[int, int, int]]) -> str:
+    """text with each run of overlapping spans replaced by the kind of its first, then longest, span.
 
-    def clean(text: str, spans: list[tuple[int, int, int]]) -> str:
-        out, at = [], 0
+    What stands before a span may be a pattern's match of its own once the span is gone, so the patterns are asked again.
+    """
+    while spans:
+        out, at, end = [], 0, -1
         for a, b, k in sorted(spans, key=lambda s: (s[0], -s[1])):
-            if a >= at:
+            if a >= end:
                 out += [text[at:a], f"<{KINDS[k].upper()}>"]
-                at = b
-        return "".join([*out, text[at:]])
+            at = end = max(b, end)
+        text = "".join([*out, text[at:]])
+        spans = base_spans(text)
+    return text
+
+
+def redact(docs: DataFrame, params: dict[str, np.ndarray]) -> DataFrame:
+    """docs with each span of `text` replaced by its kind in angle brackets; overlapping spans are replaced as one. Null stays null."""
+    shared, names = docs.sparkSession.sparkContext.broadcast(params), docs.columns
+    place = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = Net(shared.value)
         for batch in batches:
             texts = [v.as_py() for v in batch.column(place)]
             found = all_spans([t or "" for t in texts], net)
-            new = [None if t is None else clean(t, b + a) for t, (b, a) in zip(texts, found, strict=True)]
+            new = [None if t is None else without(t, b + a) for t, (b, a) in zip(texts, found, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if i == place else c for i, c in enumerate(batch.columns)], batch.schema.names)
 
     return mapped(docs, run, docs.schema)

@@ -108,6 +108,24 @@ def test_redaction(spark):
     assert got == {1: "a <EMAIL> b <IP>", 2: None}
 
 
+def test_redaction_of_overlapping_spans(spark):
+    texts = {
+        "call +15551234567 12john.doe@mail.com now": "call <PHONE> now",
+        "host 10.0.0.0 4111 1111 1111 1111 end": "host <IP> end",
+        # a card only once the address behind it is gone
+        "pay 4111 1111 1111 1111 10.0.0.0 end": "pay <CARD> <IP> end",
+    }
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.text for r in pii.redact(d, pii.train([])).orderBy("doc_id").collect()] == list(texts.values())
+
+
+@settings(max_examples=3000, deadline=None)
+@given(st.lists(st.sampled_from(["+15551234567", "12john.doe@mail.com", "10.0.0.0", "4111 1111 1111 1111", " ", "-", "a", "1"]), max_size=8).map("".join))
+def test_redaction_leaves_no_pattern_span(text):
+    new = pii.without(text, pii.base_spans(text))
+    assert pii.base_spans(new) == [] and re.sub("<[A-Z]+>", "", new).count("@") <= text.count("@")
+
+
 def test_query(spark):
     from quillgraph.llm import registry
 
