@@ -26,6 +26,22 @@ def test_ids_are_the_tokenizers(text):
     assert np.frombuffer(ENCODER.encode(text), "<u4").tolist() == ids(text)
 
 
+DEFAULT, READER = Tokenizer.from_file(PATH), packing.Encoder(PATH, added=True)
+
+
+@settings(max_examples=2000, deadline=None)
+@given(st.lists(st.sampled_from([*PARTS, "<|endoftext|>", "<|endoftext", "|>"]), max_size=12).map("".join) | st.text(max_size=20))
+def test_added_tokens_are_read_as_the_tokenizer_does_by_default(text):
+    assert np.frombuffer(READER.encode(text), "<u4").tolist() == DEFAULT.encode(text, add_special_tokens=False).ids
+
+
+def test_pieces_read_added_tokens(spark):
+    text = "a <|endoftext|> b"
+    [r] = packing.pieces(spark.createDataFrame([(1, text)], "doc_id long, text string"), PATH).collect()
+    want = [*DEFAULT.encode(text, add_special_tokens=False).ids, 0]
+    assert want == [64, 220, 50256, 275, 0] and (r.length, r.ids_crc32) == (5, zlib.crc32(np.array(want, "<u4").tobytes()))
+
+
 def test_one_long_word():
     text = "ab" * 20_000
     assert np.frombuffer(ENCODER.encode(text), "<u4").tolist() == ids(text)
