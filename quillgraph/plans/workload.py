@@ -349,10 +349,14 @@ def _nodes(spark, d):
     return graph.node_counts(_edges(spark, d))
 
 
+def _all_pairs(spark, d):
+    """All distinct author pairs of the dyads."""
+    return dyads.author_pairs(_dyads(spark, d).select(*_DYAD_COLUMNS)).select("source", "target").where("source is not null and target is not null").distinct()
+
+
 def _pairs(spark, d):
-    """Author pairs of the dyads whose focal author is a seed researcher."""
-    pairs = dyads.author_pairs(_dyads(spark, d).select(*_DYAD_COLUMNS)).select("source", "target").where("source is not null and target is not null").distinct()
-    return pairs.join(views.seeds(spark, d).withColumnRenamed("id", "source"), "source", "left_semi")
+    """Those whose focal author is a seed researcher, as in the recursive SQL."""
+    return _all_pairs(spark, d).join(views.seeds(spark, d).withColumnRenamed("id", "source"), "source", "left_semi")
 
 
 def _hops(spark, d):
@@ -392,6 +396,28 @@ def _bins(spark, d):
     return _hops(spark, d).groupBy(text.distance_bin(F.col("d")).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
+# From every focal author, as far as paths go, which the recursive SQL doesn't do; tests hold them against brute force.
+
+
+def _all_hops(spark, d):
+    return graph.hops_in_memory(_edges(spark, d), _all_pairs(spark, d))
+
+
+@query("bfs_distances_all")
+def _bfs_all(spark, d):
+    return _all_hops(spark, d)
+
+
+@query("distance_coverage_all")
+def _coverage_all(spark, d):
+    return graph.distance_coverage(_all_hops(spark, d), "source")
+
+
+@query("distance_bins_all")
+def _bins_all(spark, d):
+    return _all_hops(spark, d).groupBy(text.distance_bin(F.col("d")).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def _pooled(spark, d):
     """Slots with four made-up distances, from -1 to 6 or null, long."""
     s = views.slots(spark, d)
