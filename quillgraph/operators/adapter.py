@@ -114,11 +114,22 @@ def generated(prompts: DataFrame, clients: Sequence[Client] = (offline,), system
     return at.withColumn("result", v).withColumn("error", F.when(F.col("error") == "api_error", F.col("error")).otherwise(F.col("result.error")))
 
 
-def judged(prompts: DataFrame, clients: Sequence[Client] = (offline,), system: str = "", policy: Policy = JUDGE) -> DataFrame:
-    """Slots with intent and confidence; a missing sentence is an error without a call."""
+def judged(prompts: DataFrame, clients: Sequence[Client] = (offline,), system: str = "", policy: Policy = JUDGE, sentence: str | None = None, failed: str | None = None) -> DataFrame:
+    """Slots with intent and confidence.
+
+    `sentence` names the column with the filled sentence, `failed` that with the error of the response: slots with an
+    error there or without a sentence are errors without a call.
+    """
     from quillgraph.functions.replies import json_object
 
-    at = ask(prompts, clients, system, policy)
+    before = F.lit(None).cast("string")
+    if sentence:
+        before = F.when(F.coalesce(F.col(sentence), F.lit("")) == "", "missing_filled_sentence")
+    if failed:
+        before = F.when(F.col(failed).isNotNull(), "no_response").otherwise(before)
+    at = ask(prompts.where(before.isNull()), clients, system, policy)
+    if sentence or failed:
+        at = at.unionByName(prompts.where(before.isNotNull()).select(*prompts.columns, F.lit("").alias("reply"), before.alias("error"), F.lit(0).alias("attempts")))
     v = json_object(F.col("reply"))
     return at.withColumn("intent", F.try_variant_get(v, "$.motivation", "string")).withColumn("confidence", F.try_variant_get(v, "$.confidence", "string"))
 
