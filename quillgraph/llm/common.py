@@ -20,11 +20,16 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder all machines share: spark.checkpoint.dir, or where that is unset a temporary one of this machine.
+
+    The latter is for a local master alone; on a cluster the setting is needed.
+    """
     sc = spark.sparkContext
     where = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         if sc._jsc.sc().getCheckpointDir().isEmpty():
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="quillgraph-"))
         return sc._jsc.sc().getCheckpointDir().get()
     if sc._jsc.sc().getCheckpointDir().isEmpty():
@@ -66,6 +71,30 @@ def mapped(df: DataFrame, run: Callable, schema) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+#: Rows of one key that may meet in one task, and the share of all rows that makes a key hot beyond that.
+HOT_ROWS, HOT_SHARE = 1000, 1000
+
+
+def attach(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """rows with the columns of table, which has one row for each key, and in q_n how many of rows it has there.
+
+    Rows whose key table lacks go. A key with over HOT_ROWS of rows and over a HOT_SHARE-th of them is hot: there are
+    fewer than HOT_SHARE such keys whatever the tables hold. Their values are broadcast, and their rows are dealt
+    over all tasks instead of meeting in one.
+    """
+    values = [c for c in table.columns if c not in (key, "q_n")]
+    found = table.where(F.col("q_n") > HOT_ROWS).select(F.col(key).alias("q_h"), F.struct(*values).alias("q_hv"), "q_n")
+    # at most HOT_SHARE rows: those beyond would hold more than all rows
+    total = found.agg(F.sum("q_n")).first()[0] or 0
+    if not total:
+        return rows.join(table.drop("q_n"), key)
+    hot = F.broadcast(found.where(F.col("q_n") * HOT_SHARE > total).drop("q_n"))
+    mine = rows.join(hot, F.col(key) == F.col("q_h"), "left").withColumn("q_k", F.when(F.col("q_h").isNull(), F.col(key)).otherwise(F.xxhash64(*rows.columns)))
+    other = table.select(F.col(key).alias("q_t"), F.struct(*values).alias("q_tv"))
+    out = mine.join(other, F.col("q_k") == F.col("q_t"), "left").withColumn("q_v", F.coalesce("q_hv", "q_tv"))
+    return out.where("q_v is not null").select(*rows.columns, *(F.col(f"q_v.{c}").alias(c) for c in values))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -76,7 +105,7 @@ def spread(*cols: Column) -> Column:
 
 
 def bounded_sample(rows: DataFrame, key: str, by: list[str], size: int) -> DataFrame:
-    """About `size` rows for each value of `key`, chosen by a hash of the columns `by`.
+    """About `size` rows for each value of `key`, chosen by a hash of the columns `by`; repeated rows come all or not at all.
 
     One pass counts the rows of each value; a row stays if its hash falls under size/count. At most a value of
     `key` and its count per group reach the driver, and about size rows of each group pass the filter.

@@ -1,35 +1,42 @@
-"""N-gram Jaccard join by vertical partitioning: exact links between texts, and their components."""
+"""N-gram Jaccard join by vertical partitioning: exact links between texts, and their components.
+
+The global order of shingles goes from rare to frequent. Two linked sets share one of the first shingles of both, so
+sets meet there; then the overlaps of those that met are counted in fragments of the order and summed by pair.
+Constants below choose between plans of equal results; none drops a link.
+"""
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import cut, mapped, memo, partitions, read, sweep
+from quillgraph.llm.common import attach, cut, mapped, partitions, read, sweep
 from quillgraph.llm.components import components
 
-#: Sizes of sets fall into classes whose bounds grow by this factor.
-CLASS = 1.4
 #: A set's count vector: shingles in each of so many slices of the global order.
 SLICES = 64
 #: Vertical fragments in which a pair's overlaps are counted apart.
 FRAGMENTS = 4
 #: Buckets up to this size give all their pairs at once; larger ones go by a pivot, and by rarity where that leaves them torn.
 SMALL = 6
-#: Words that a worker remembers; documents whose signatures it gathers; bits of the filter for the second reading of texts.
+#: Words that a worker remembers; documents whose shingles it gathers; bits of the filter for the third reading of texts.
 MEMORY, ROWS, FILTER_BITS = 100_000, 1000, 1 << 24
-#: Slots in which shingles are counted to order them by rarity.
-SLOTS = 1 << 22
+#: Slots in which shingles are counted to order them by rarity, and pieces in which the counts travel.
+SLOTS, CHUNKS = 1 << 22, 64
+#: Sets of one shingle that may go to one task; a shingle that stands out above that is dealt to several.
+HOT = 1000
 #: Ids of eight bytes that may be broadcast.
 MOST_BROADCAST = 2_000_000
 _U = np.uint64
-META = np.dtype([("id", "<i8"), ("null", "u1"), ("key", "<i8"), ("n", "<i4"), ("slices", "u1", (SLICES,))])
+DOC = np.dtype([("id", "<i8"), ("null", "u1"), ("key", "<i8"), ("n", "<i4")])
+NODE = np.dtype([("id", "<i8"), ("null", "u1"), ("key", "<i8"), ("n", "<i4"), ("slices", "u1", (SLICES,))])
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -68,86 +75,119 @@ def key_of(s: np.ndarray) -> int:
     return int(np.int64(_U(xxhash.xxh64_intdigest(s.tobytes())).view(np.int64)))
 
 
-# --- candidates ----------------------------------------------------------------------------------------------------
-# J(A, B) >= p/100 means |A - B| + |B - A| <= (|A| + |B|) (100 - p) / (100 + p) =: d. Cut the order of all shingles into
-# more than d fragments: sets that link agree in at least one. So sets that share no whole fragment need no look.
+def slot_of(s: np.ndarray) -> np.ndarray:
+    return (s & _U(SLOTS - 1)).astype(np.int64)
+
+
+class Seen:
+    """Remembers names, MEMORY of them at most; what it forgot is new again."""
+
+    def __init__(self):
+        self.names = set()
+
+    def new(self, name: int) -> bool:
+        if name in self.names:
+            return False
+        if len(self.names) > MEMORY:
+            self.names.clear()
+        self.names.add(name)
+        return True
+
+
+# --- the order of shingles -----------------------------------------------------------------------------------------
+# Shingles are counted by slot of a table of fixed size, over all sets. Any order that all sets keep to is right;
+# shingles that meet in one slot only make it less sharp.
+
 
+def tallied(sets: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """How many of the sets hold each slot's shingles, in CHUNKS compressed pieces."""
+    counts = np.zeros(SLOTS, np.uint32)
+    for s in sets:
+        np.add.at(counts, slot_of(s), np.uint32(1))
+    pieces, pack = counts.reshape(CHUNKS, -1), zstandard.ZstdCompressor(level=1).compress
+    yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array([pack(p.tobytes()) for p in pieces], pa.binary())], ["chunk", "counts"])
 
-def class_of(n: int) -> int:
-    c = int(math.log(n) / math.log(CLASS))
-    while top(c) < n:
-        c += 1
-    while c and top(c - 1) >= n:
-        c -= 1
-    return c
 
+def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the pieces of each chunk, at most 2^30."""
+    total: dict[int, np.ndarray] = {}
+    unpack = zstandard.ZstdDecompressor().decompress
+    for batch in batches:
+        for chunk, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            total[chunk] = total.get(chunk, 0) + np.frombuffer(unpack(data), np.uint32).astype(np.int64)
+    for chunk, n in total.items():
+        yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([n.clip(max=1 << 30).astype(np.int32).tobytes()], pa.binary())], ["chunk", "counts"])
+
+
+def table_of(tallies: DataFrame) -> np.ndarray:
+    """The table of counts: SLOTS numbers of four bytes, whatever the tallies come from."""
+    got = mapped(tallies.repartition(CHUNKS, "chunk"), summed, "chunk int, counts binary").toArrow()
+    table = np.zeros((CHUNKS, SLOTS // CHUNKS), np.int32)
+    for chunk, data in zip(*(c.to_pylist() for c in got.columns), strict=True):
+        table[chunk] = np.frombuffer(data, np.int32)
+    return table.ravel()
 
-@memo
-def top(c: int) -> int:
-    """Largest size in a class."""
-    return max(1, math.ceil(CLASS ** (c + 1)) - 1)
 
+def in_order(s: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles from rare to frequent, and their counts."""
+    c = often[slot_of(s)]
+    order = np.lexsort((s, c))
+    return s[order], c[order]
 
-def apart(total: int, percent: int) -> int:
-    """Most shingles that stand in one of two linked sets alone, by the sum of their sizes."""
-    return total * (100 - percent) // (100 + percent)
+
+# --- candidates ----------------------------------------------------------------------------------------------------
+# Linked sets A, B have an overlap of at least p |A| / 100, and of at least 2 p |A| / (100 + p) if B isn't smaller. The
+# first shingle in the order that both have can't stand after what the overlap leaves over in A, nor in B. So it is in
+# the head of the larger set, and in the shorter head of the smaller one.
 
 
-@memo
-def fragments(c: int, percent: int) -> int:
-    """Fragments for sets of class c and the one below; the spare ones make up for fragments that are empty."""
-    d = apart(2 * top(c), percent)
-    return d + 1 + (1 + d // 16 if d else 0)
+def heads(n: int, percent: int) -> tuple[int, int]:
+    """Lengths of the head and of the shorter head of a set of n shingles."""
+    return n + (-percent * n // 100) + 1, n + (-2 * percent * n // (100 + percent)) + 1
 
 
-def signatures(s: np.ndarray, percent: int) -> np.ndarray:
-    """Names of the set's non-empty fragments, in its class and, where a larger partner may be in the next, there too.
+def named(s: np.ndarray, key: int, often: np.ndarray, hot: float, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of a set, one for each shingle of its head, and what decides the part each goes to.
 
-    If a set has so many empty fragments that all those it shares with a partner may be empty, and the partner has so
-    too, the guarantee fails. Such sets also name the first of their shingles in the global order, of which linked
-    sets share one.
+    The two lowest bits of a bucket's number say that the shingle is dealt to several parts, and that it stands in
+    the shorter head. Shingles that differ in these bits alone share a bucket, which only adds candidates.
     """
-    n, out, poor = len(s), [], False
-    own = class_of(n)
-    for c in (own, own + 1):
-        if c > own and n * 100 // percent <= top(own):
-            break
-        m = fragments(c, percent)
-        f = (s >> _U(20)) % _U(m)
-        order = np.argsort(f, kind="stable")
-        g = f[order]
-        start = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
-        sums = np.add.reduceat(mixed(s[order] + _U(1)), start)
-        out.append(mixed(sums + g[start] * _U(0x9E3779B97F4A7C15) + _U((c + 1) * 0xD1B54A32D192ED03 % (1 << 64))))
-        poor |= m - apart(n + min(top(c), n * 100 // percent), percent) <= m - len(start)
-    if poor:
-        out.append(mixed(s[: n - -(-percent * n // 100) + 1] + _U(0x5851F42D4C957F2D)))
-    return np.unique(np.concatenate(out))
-
-
-def gathered(batches: Iterator[pa.RecordBatch], width: int, percent: int, parts: int) -> Iterator[pa.RecordBatch]:
-    """For every ROWS documents and each part one row of signatures and one of documents, both packed."""
-    shingler, known = Shingler(width), set()
+    s, c = in_order(s, often)
+    long, short = heads(len(s), percent)
+    s, c = s[:long], c[:long]
+    dealt = c > hot
+    bucket = (s & ~_U(3)) | (dealt.astype(_U) << _U(1)) | (np.arange(long) < short).astype(_U)
+    deal = np.where(dealt, _U(key & (1 << 63) - 1) % (1 + (c - hot).clip(min=0).astype(np.int64) // HOT).astype(_U), _U(0))
+    return bucket, mixed((s & ~_U(3)) + deal * _U(0x9E3779B97F4A7C15))
+
+
+def gathered(batches: Iterator[pa.RecordBatch], width: int, percent: int, parts: int, often: np.ndarray, hot: float) -> Iterator[pa.RecordBatch]:
+    """For every ROWS documents and each part one row each of buckets (0), of sets (1) and of documents (2), all packed."""
+    shingler, seen, n_docs = Shingler(width), Seen(), 0
     for batch in batches:
         for at in range(0, batch.num_rows, ROWS):
             part = batch.slice(at, ROWS)
-            meta = np.zeros(part.num_rows, META)
-            sigs, keys = [], []
+            docs, nodes = np.zeros(part.num_rows, DOC), np.zeros(part.num_rows, NODE)
+            entries, places, some = [], [], 0
             for i, (doc, value) in enumerate(zip(part.column(0).to_pylist(), part.column(1), strict=True)):
                 s = shingler.set_of(value.as_py())
                 key = key_of(s)
-                meta[i] = doc or 0, doc is None, key, len(s), np.bincount((s >> _U(58)).astype(np.int64), minlength=SLICES).clip(max=255)
-                if len(s) and key not in known:
-                    if len(known) > MEMORY:
-                        known.clear()
-                    known.add(key)
-                    sigs.append(signatures(s, percent))
-                    keys.append(np.full(len(sigs[-1]), key, np.int64))
+                docs[i] = doc or 0, doc is None, key, len(s)
+                if len(s) and seen.new(key):
+                    nodes[some] = doc or 0, doc is None, key, len(s), np.bincount((s >> _U(58)).astype(np.int64), minlength=SLICES).clip(max=255)
+                    some += 1
+                    bucket, place = named(s, key, often, hot, percent)
+                    entries.append(np.stack([bucket.view(np.int64), np.full(len(bucket), key)], 1))
+                    places.append(place)
             rows: list[tuple[int, int, bytes]] = []
-            if sigs:
-                both = np.stack([np.concatenate(sigs).view(np.int64), np.concatenate(keys)], 1)
-                rows += [(0, p, both[x].tobytes()) for p, x in split(both[:, 0].view(_U), parts)]
-            rows += [(1, p, meta[x].tobytes()) for p, x in split(meta["key"].view(_U), parts)]
+            if entries:
+                both = np.concatenate(entries)
+                rows += [(0, p, both[x].tobytes()) for p, x in split(np.concatenate(places), parts)]
+                nodes = nodes[:some]
+                rows += [(1, p, nodes[x].tobytes()) for p, x in split(nodes["key"].view(_U), parts)]
+            # documents of one set, however many, are dealt out in turn
+            rows += [(2, p, docs[x].tobytes()) for p, x in split((np.arange(len(docs)) // 100 + n_docs).astype(_U), parts)]
+            n_docs += 1 + len(docs) // 100
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)], ["kind", "part", "data"])
 
@@ -166,48 +206,66 @@ GROUPED = "kind int, a long, b long, n int, data binary"
 
 
 def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of one partition: documents (kind 0; count vector with the first of a key), pairs (1), large buckets (2)."""
-    sigs, metas = [], []
-    for batch in batches:
-        for kind, data in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            (metas if kind else sigs).append(np.frombuffer(data, META if kind else np.int64))
+    """Of one part: documents (kind 0), pairs (1), members of large and of dealt buckets (2), sets with a document's id (3)."""
     names = [c.split()[0] for c in GROUPED.split(", ")]
     types = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
 
-    def out(*columns) -> pa.RecordBatch:
+    def out(kind: int, a, b, n, data=None) -> pa.RecordBatch:
+        columns = np.full(len(b), kind, np.int32), a, b, n, [None] * len(b) if data is None else data
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
-    if metas:
-        m = np.concatenate(metas)
-        first = np.zeros(len(m), bool)
-        first[np.unique(m["key"], return_index=True)[1]] = True
-        for i in range(0, len(m), 20_000):
-            x, f = m[i : i + 20_000], first[i : i + 20_000]
-            yield out(np.zeros(len(x), np.int32), [None if n else d for d, n in zip(x["id"].tolist(), x["null"].tolist(), strict=True)], x["key"], x["n"], [s.tobytes() if k else None for s, k in zip(x["slices"], f, strict=True)])
-    if not sigs:
+    def ids(rows: np.ndarray) -> pa.Array:
+        return pa.array(rows["id"], pa.int64(), mask=rows["null"].astype(bool))
+
+    entries, nodes = [], []
+    for batch in batches:
+        for kind, data in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            if kind == 2:
+                x = np.frombuffer(data, DOC)
+                yield out(0, ids(x), x["key"], x["n"])
+            else:
+                (nodes if kind else entries).append(np.frombuffer(data, NODE if kind else np.int64))
+    if nodes:
+        x = np.concatenate(nodes)
+        nodes = x[np.unique(x["key"], return_index=True)[1]]
+        for i in range(0, len(nodes), 20_000):
+            x = nodes[i : i + 20_000]
+            yield out(3, ids(x), x["key"], x["n"], [s.tobytes() for s in x["slices"]])
+    if not entries:
         return
-    both = np.concatenate(sigs).reshape(-1, 2)
-    both = both[np.lexsort((both[:, 1], both[:, 0]))]
-    both = both[np.concatenate([[True], (both[1:] != both[:-1]).any(1)])]
-    start = np.flatnonzero(np.concatenate([[True], both[1:, 0] != both[:-1, 0]]))
+    both = np.concatenate(entries).reshape(-1, 2)
+    del entries, nodes
+    both = both[np.lexsort((both[:, 1], both[:, 0] >> 2))]
+    # a set that came from several tasks is there once
+    both = both[np.concatenate([[True], (both[1:, 1] != both[:-1, 1]) | (both[1:, 0] >> 2 != both[:-1, 0] >> 2)])]
+    name, short = both[:, 0] >> 2, both[:, 0] & 1
+    start = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
     size = np.diff(np.append(start, len(both)))
-    pairs, large = [], []
+    dealt = both[start, 0] & 2 > 0
+    # a pair needs one that has the shingle in its shorter head
+    some = np.maximum.reduceat(short, start) > 0
+    pairs = []
     for k in range(2, SMALL + 1):
-        rows = both[:, 1][start[size == k][:, None] + np.arange(k)]
-        pairs += [rows[:, [i, j]] for i in range(k) for j in range(i + 1, k)]
-    pairs = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
+        at = start[(size == k) & some & ~dealt][:, None] + np.arange(k)
+        rows, can = both[:, 1][at], short[at] > 0
+        pairs += [rows[:, [i, j]][can[:, i] | can[:, j]] for i in range(k) for j in range(i + 1, k)]
+    pairs = np.unique(np.concatenate(pairs), axis=0)
     for i in range(0, len(pairs), 50_000):
         x = pairs[i : i + 50_000]
-        yield out(np.ones(len(x), np.int32), x[:, 0], x[:, 1], np.zeros(len(x), np.int32), [None] * len(x))
-    seen = set()
-    for a, k in zip(start[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
-        data = both[a : a + k, 1].tobytes()
-        name = xxhash.xxh64_intdigest(data)
-        if name not in seen:
-            seen.add(name)
-            large.append((2, int(np.int64(_U(name).view(np.int64))), 0, k, data))
+        yield out(1, x[:, 0], x[:, 1], np.zeros(len(x), np.int32))
+    seen = Seen()
+    large = []
+    for a, k, many in zip(*(x[dealt | (size > SMALL) & some].tolist() for x in (start, size, dealt)), strict=True):
+        # shingles with the same sets say the same
+        if many or seen.new(xxhash.xxh64_intdigest(both[a : a + k, 1].tobytes() + short[a : a + k].tobytes())):
+            large.append(np.arange(a, a + k))
+        if large and (sum(map(len, large)) > 50_000):
+            x = np.concatenate(large)
+            large = []
+            yield out(2, name[x], both[x, 1], short[x].astype(np.int32))
     if large:
-        yield out(*zip(*large, strict=True))
+        x = np.concatenate(large)
+        yield out(2, name[x], both[x, 1], short[x].astype(np.int32))
 
 
 # --- overlaps ------------------------------------------------------------------------------------------------------
@@ -227,26 +285,13 @@ def enough(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
 
 
 def packed(s: np.ndarray) -> list[bytes]:
-    """The set in FRAGMENTS pieces by its two highest bits; of each shingle the 40 bits below them."""
+    """The set in FRAGMENTS pieces by its two highest bits."""
     bounds = np.searchsorted(s, np.arange(FRAGMENTS, dtype=_U) * _U((1 << 64) // FRAGMENTS)).tolist() + [len(s)]
-    v = (s >> _U(22)) & _U((1 << 40) - 1)
-    b = v.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-    return [b[i:j].tobytes() for i, j in zip(bounds, bounds[1:], strict=False)]
+    return [s[i:j].tobytes() for i, j in zip(bounds, bounds[1:], strict=False)]
 
 
 def unpacked(x: bytes) -> np.ndarray:
-    out = np.zeros((len(x) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(x, np.uint8).reshape(-1, 5)
-    return out.view("<u8").ravel()
-
-
-def tokens_of(f: int, x: bytes) -> np.ndarray:
-    """A fragment's shingles as numbers that differ between fragments."""
-    return unpacked(x).astype(np.int64) + (f << 40)
-
-
-def slot_of(tokens: np.ndarray) -> np.ndarray:
-    return (mixed(tokens.astype(_U)) % _U(SLOTS)).astype(np.int64)
+    return np.frombuffer(x, _U)
 
 
 def overlap(a: bytes, b: bytes) -> int:
@@ -254,23 +299,34 @@ def overlap(a: bytes, b: bytes) -> int:
 
 
 class Join:
-    """The join over one table; see links_and_components()."""
+    """The join over one table; see groups()."""
 
     def __init__(self, docs: DataFrame, width: int, percent: int):
-        self.percent, self.width = percent, width
+        self.percent, self.width, self.spark = percent, width, docs.sparkSession
         self.docs = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").alias("text"))
-        n = partitions(docs.sparkSession)
+        n = partitions(self.spark)
 
-        def first(batches):
-            return gathered(batches, width, percent, n)
+        def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            shingler, seen = Shingler(width), Seen()
+            sets = (shingler.set_of(v.as_py()) for batch in batches for v in batch.column(0))
+            return tallied(s for s in sets if len(s) and seen.new(key_of(s)))
+
+        often = table_of(mapped(self.docs.select("text"), counted, "chunk int, counts binary"))
+        load = float(often.mean(dtype=float))
+        # what chance lets meet in a slot doesn't stand out
+        hot = load + 8 * load**0.5 + HOT
+        shared = self.spark.sparkContext.broadcast(often)
+
+        def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            return gathered(batches, width, percent, n, shared.value, hot)
 
         rows = mapped(self.docs, first, "kind int, part int, data binary")
         self.rows = cut(mapped(rows.repartition(n, "part"), grouped, GROUPED))
         del rows
-        sweep(docs.sparkSession)
+        sweep(self.spark)
+        #: (id, key, n) of every document; one row for each set, with the id of one of its documents.
         self.meta = self.rows.where("kind = 0").select(F.col("a").alias("id"), F.col("b").alias("key"), "n")
-        # a key's documents are all in one partition, so exactly one row has the count vector
-        self.nodes = self.rows.where("kind = 0 and data is not null").select(F.col("b").alias("key"), "n", F.col("data").alias("slices"))
+        self.nodes = self.rows.where("kind = 3").select(F.col("a").alias("id"), F.col("b").alias("key"), "n", F.col("data").alias("slices"))
         self.sets = None
 
     def possible(self, pairs: DataFrame) -> DataFrame:
@@ -282,11 +338,11 @@ class Join:
         return mapped(both.select("a", "b", "na", "nb", "sa", "sb"), lambda x: enough(x, p), "a long, b long, na int, nb int")
 
     def read_sets(self, keys: DataFrame) -> None:
-        """The packed sets of the keys, from a second reading of the texts.
+        """The packed sets of the keys, from another reading of the texts.
 
         A filter of fixed size over the ids that stand for the keys decides which texts to cut into shingles again.
         """
-        picked = self.meta.join(keys.select("key").distinct(), "key").groupBy("key").agg(F.min("id").alias("id"), F.max(F.col("id").isNull()).alias("null"))
+        picked = self.nodes.join(keys.select("key").distinct(), "key", "left_semi").select("key", "id")
         bits = FILTER_BITS
         slot = F.pmod(F.crc32(F.col("id").cast("string").cast("binary")), F.lit(bits))
         words = picked.where("id is not null").select(slot.alias("s")).groupBy((F.col("s") / 32).cast("int").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 32 as int))")).alias("w"))
@@ -294,10 +350,10 @@ class Join:
         got = words.toArrow()
         table = np.zeros(bits // 32, np.uint32)
         table[got.column("at").to_numpy()] = got.column("w").to_numpy().astype(np.uint32)
-        shared, width = self.docs.sparkSession.sparkContext.broadcast(table), self.width
+        shared, width = self.spark.sparkContext.broadcast(table), self.width
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            shingler, held = Shingler(width), shared.value
+            shingler, seen, held = Shingler(width), Seen(), shared.value
             for batch in batches:
                 slots = batch.column(2).to_numpy(zero_copy_only=False)
                 null = batch.column(0).is_null().to_numpy(zero_copy_only=False)
@@ -308,8 +364,7 @@ class Join:
                     rows = []
                     for i in found[n : n + ROWS]:
                         s = shingler.set_of(batch.column(1)[i].as_py())
-                        if len(s):
-                            key = key_of(s)
+                        if len(s) and seen.new(key := key_of(s)):
                             rows += [(key, k, x) for k, x in enumerate(packed(s))]
                     if rows:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], ["key", "f", "x"])
@@ -317,7 +372,7 @@ class Join:
         again = mapped(self.docs.select("id", "text", slot.alias("slot")), run, "key long, f int, x binary")
         self.sets = cut(again.join(picked.select("key"), "key", "left_semi").groupBy("key", "f").agg(F.first("x").alias("x")))
         del again, picked, words
-        sweep(self.docs.sparkSession)
+        sweep(self.spark)
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """Of possible pairs those that link: overlaps are counted by fragment and summed by pair."""
@@ -334,98 +389,95 @@ class Join:
 
     def run(self) -> tuple[DataFrame, DataFrame]:
         """All links needed for the components, and (node, root) of every key that links."""
-        small = self.rows.where("kind = 1").select("a", "b")
-        buckets = self.rows.where("kind = 2").select(F.col("a").alias("bucket"), F.col("n").alias("size"), "data").dropDuplicates(["bucket"])
-
-        def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for bucket, size, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    keys = np.frombuffer(data, np.int64)
-                    for i in range(0, len(keys), 50_000):
-                        x = keys[i : i + 50_000]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), bucket)), pa.array(np.full(len(x), size, np.int64)), pa.array(x)], ["bucket", "size", "key"])
-
-        members = cut(mapped(buckets, opened, "bucket long, size long, key long"))
-        first = cut(self.possible(small))
-        self.read_sets(first.select(F.col("a").alias("key")).unionByName(first.select(F.col("b").alias("key"))).unionByName(members.select("key")))
+        members = self.rows.where("kind = 2").select(F.col("a").alias("bucket"), F.col("b").alias("key"), F.col("n").alias("short"))
+        first = cut(self.possible(self.rows.where("kind = 1").select("a", "b")))
+        # a set that stands in the shorter heads of many others' buckets is likely what they were made from: it goes first
+        weight = members.groupBy("key").agg(F.sum("short").alias("weight"))
+        pivots = members.join(weight, "key").groupBy("bucket").agg(F.max(F.when(F.col("short") > 0, F.struct("weight", "key"))).alias("p"), F.count(F.lit(1)).alias("q_n"))
+        at = cut(attach(members, pivots.where("p is not null and q_n > 1").select("bucket", F.col("p.key").alias("pivot"), "q_n"), "bucket"))
+        del members, weight, pivots
+        sweep(self.spark)
+        self.read_sets(reduce(DataFrame.unionByName, [first.select(F.col(c).alias("key")) for c in "ab"] + [at.select("key")]))
         found = self.links(first)
-        if members.isEmpty():
+        if at.isEmpty():
             found = cut(found)
             return found, components(found)
-        # a set that shares fragments with many others is likely what the others were made from: it goes first
-        weight = members.groupBy("key").agg(F.sum("size").alias("weight"))
-        open_ = members.join(weight, "key").select("bucket", "key", "weight").withColumn("root", F.col("key"))
-        pivots = open_.groupBy("bucket").agg(F.max(F.struct("weight", "key")).alias("p")).select("bucket", F.col("p.key").alias("pivot"))
-        found = cut(found.unionByName(self.links(self.possible(self._against(open_, pivots)))))
-        sweep(self.docs.sparkSession)
+        found = cut(found.unionByName(self.links(self.possible(at.select(F.col("pivot").alias("a"), F.col("key").alias("b"))))))
+        sweep(self.spark)
         roots = components(found)
         # pairs with a pivot are settled, and so are pairs within a component
-        rest = open_.drop("root").join(pivots, "bucket").where("key != pivot").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-        torn = rest.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("bucket")
-        rest = cut(rest.join(torn, "bucket", "left_semi").select("key", "root").distinct())
-        if rest.isEmpty():
+        rest = cut(at.where("key != pivot").join(roots.withColumnRenamed("node", "key"), "key", "left").select("bucket", "key", "short", F.coalesce("root", "key").alias("root")))
+        torn = rest.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.sum("short").alias("shorts"), F.count(F.lit(1)).alias("q_n")).where("lo != hi and shorts > 0")
+        torn = cut(torn.select("bucket", "shorts", "q_n"))
+        sweep(self.spark)
+        if torn.isEmpty():
             return found, roots
-        sweep(self.docs.sparkSession)
-        found = cut(found.unionByName(self.links(self.possible(self._by_rarity(rest)))))
-        sweep(self.docs.sparkSession)
+        more = []
+        # few that can start a pair: each meets all the others
+        few, many = torn.where(F.col("shorts") <= SMALL), torn.where(F.col("shorts") > SMALL)
+        starts = attach(rest.where("short > 0"), few.select("bucket", F.col("shorts").alias("q_n"), F.lit(1).alias("few")), "bucket").groupBy("bucket").agg(F.collect_list(F.struct("key", "root")).alias("starts"))
+        met = attach(rest, starts.join(few.select("bucket", "q_n"), "bucket"), "bucket").select("key", "root", F.explode("starts").alias("s"))
+        more.append(cut(met.where("root != s.root").select(F.col("s.key").alias("a"), F.col("key").alias("b"))))
+        left = cut(attach(rest, many.select("bucket", "q_n", F.lit(1).alias("many")), "bucket").select("key", "root").distinct())
+        del starts, met
+        sweep(self.spark)
+        if not left.isEmpty():
+            more.append(self._by_rarity(left))
+        found = cut(found.unionByName(self.links(self.possible(reduce(DataFrame.unionByName, more)))))
+        sweep(self.spark)
         return found, components(found)
 
     def _by_rarity(self, rest: DataFrame) -> DataFrame:
-        """Pairs of sets (key, root) of different components that may link, by the rarest of their shingles.
-
-        The sets' shingles are ordered by how many of the sets hold them, rarest first. The first shingle that two sets
-        share stands after shingles that the other lacks; so what is left from there on must hold the overlap that a
-        link needs. A set for which that fails even with a partner of its own size can only meet one that stands
-        better: two of them never need a look. That settles copies of one text that differ too much to link.
+        """Pairs of sets (key, root) of different components that may link, by an order made for these sets alone.
 
-        Any order that all sets keep to is right, so shingles are counted by slot of a table of fixed size; shingles
-        that meet in one slot only make it less sharp. All sets are counted.
+        Among copies of one text the shingles of their own come first then. What is left from the first common shingle
+        on must hold the overlap that a link needs; that settles copies that differ too much to link.
         """
         p = self.percent
 
         def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            n = np.zeros(SLOTS, np.int32)
-            for batch in batches:
-                for f, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    np.add.at(n, slot_of(tokens_of(f, x)), 1)
-            at = np.flatnonzero(n)
-            for i in range(0, len(at), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(at[i : i + 100_000].astype(np.int32)), pa.array(n[at[i : i + 100_000]])], ["slot", "n"])
+            return tallied(unpacked(x.as_py()) for batch in batches for x in batch.column(0))
 
         mine = self.sets.join(rest, "key")
-        # at most SLOTS rows, whatever the sets hold
-        got = mapped(mine.select("f", "x"), counted, "slot int, n int").groupBy("slot").agg(F.least(F.sum("n"), F.lit(1 << 30)).cast("int").alias("n")).toArrow()
-        table = np.zeros(SLOTS, np.int32)
-        table[got.column("slot").to_numpy()] = got.column("n").to_numpy()
-        del got
-        shared = rest.sparkSession.sparkContext.broadcast(table)
+        shared = self.spark.sparkContext.broadcast(table_of(mapped(mine.select("x"), counted, "chunk int, counts binary")))
 
         def ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             often = shared.value
             for batch in batches:
                 for key, root, parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    t = np.concatenate([tokens_of(q["f"], q["x"]) for q in parts])
-                    c, n = often[slot_of(t)], len(t)
-                    first = np.lexsort((t, c))[: n + (-p * n // 100) + 1]
+                    s = np.concatenate([unpacked(x) for x in parts])
+                    n = len(s)
+                    s, c = in_order(s, often)
                     # a shingle of one set alone leads to no pair, but takes its place in the order
-                    at = np.flatnonzero(c[first] > 1)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), v)) for v in (key, root, n)] + [pa.array(t[first[at]]), pa.array(n - at)], ["key", "root", "n", "token", "left"])
+                    at = np.flatnonzero(c[: heads(n, p)[0]] > 1)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), v)) for v in (key, root, n)] + [pa.array(s[at].view(np.int64)), pa.array(n - at)], ["key", "root", "n", "token", "left"])
 
-        whole = mine.groupBy("key", "root").agg(F.collect_list(F.struct("f", "x")).alias("parts"))
+        whole = mine.groupBy("key", "root").agg(F.collect_list("x").alias("parts"))
         entries = cut(mapped(whole, ordered, "key long, root long, n long, token long, left long"))
         del mine, whole
-        sweep(self.docs.sparkSession)
+        sweep(self.spark)
         a, b = (entries.select("token", *(F.col(c).alias(f"{c}_{x}") for c in ("key", "root", "n", "left"))) for x in "ab")
         need = p * (F.col("n_a") + F.col("n_b"))
-        met = a.where(2 * p * F.col("n_a") <= (100 + p) * F.col("left_a")).join(b, "token")
-        return met.where((F.col("root_a") != F.col("root_b")) & (need <= (100 + p) * F.least("left_a", "left_b")) & (100 * F.least("n_a", "n_b") >= p * F.greatest("n_a", "n_b"))).select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
+        fits = (F.col("root_a") != F.col("root_b")) & (F.col("n_a") <= F.col("n_b")) & (need <= (100 + p) * F.least("left_a", "left_b")) & (100 * F.col("n_a") >= p * F.col("n_b"))
+        met = a.where(2 * p * F.col("n_a") <= (100 + p) * F.col("left_a")).join(b, (a["token"] == b["token"]) & fits)
+        return met.select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
 
-    @staticmethod
-    def _against(members: DataFrame, pivots: DataFrame) -> DataFrame:
-        """Pairs of each bucket's pivot with the members of other components."""
-        at = members.join(pivots, "bucket")
-        own = at.where("key = pivot").select("bucket", F.col("root").alias("own"))
-        return at.join(own, "bucket").where("key != pivot and root != own").select(F.col("pivot").alias("a"), F.col("key").alias("b"))
+
+def labelled(join: Join) -> DataFrame:
+    """(id, key, n, first) for each document with words; first: (null, id, key) of the component's least row.
+
+    Work is done by distinct sets; a set or a component of very many documents is no task of its own.
+    """
+    _, roots = join.run()
+    by_key = join.meta.where("n > 0").groupBy("key").agg(F.min(F.struct(F.col("id").isNull().alias("null"), "id", "key")).alias("first"), F.count(F.lit(1)).alias("q_n"))
+    by_key = cut(by_key.join(roots.withColumnRenamed("node", "key"), "key", "left"))
+    sweep(join.spark)
+    least = by_key.where("root is not null").groupBy("root").agg(F.min("first").alias("first"), F.count(F.lit(1)).alias("q_n"))
+    alone = by_key.where("root is null").select("key", "q_n", "first")
+    linked = attach(by_key.where("root is not null").select("key", F.col("q_n").alias("docs"), "root"), least, "root").select("key", F.col("docs").alias("q_n"), "first")
+    both = cut(alone.unionByName(linked))
+    sweep(join.spark)
+    return attach(join.meta.where("n > 0"), both, "key")
 
 
 def groups(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
@@ -435,38 +487,52 @@ def groups(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     words. Two documents link when 100 * overlap >= percent * union; component_id is the smallest doc_id that links
     reach. No pair that links is missed unless both texts are already in one component. Equal sets are one node,
     however many documents have them. Null and empty texts, and those without words, have no shingle and are by
-    themselves. A null doc_id takes part; its component is null only if no document in it has an id. Columns beside
-    doc_id and text are not read; an empty table gives an empty one.
+    themselves. A null doc_id takes part; its component is null only if no document in it has an id. Shingles are
+    told apart by hashes of 64 bits. Columns beside doc_id and text are not read; an empty table gives an empty one.
     """
     join = Join(docs, width, percent)
-    _, roots = join.run()
-    at = join.meta.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    least = at.where("n > 0").groupBy("root").agg(F.min("id").alias("component_id")).withColumnRenamed("root", "q_root")
-    out = at.join(least, (F.col("root") == F.col("q_root")) & (F.col("n") > 0), "left")
-    return out.select(F.col("id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+    out = labelled(join).select(F.col("id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.col("first.id").alias("component_id"))
+    return out.unionByName(join.meta.where("n = 0").select(F.col("id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.col("id").alias("component_id")))
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one row of each group of linked documents: the one whose doc_id names the component.
+    """docs with one row of each group of linked documents: that of the smallest doc_id, nulls last.
 
-    Documents without words and with a null doc_id stay. Of rows that repeat an id and a text one stays.
+    What counts is the row, not its id: where an id stands on several texts, each is kept or dropped by its own
+    group. Of rows that share the smallest id of a group, one stays, whichever it is if their words are the same.
+    Documents without words are in no group and stay, however often they repeat. All columns are kept.
     """
-    found = cut(groups(docs, width, percent).where("doc_id is not null"))
-    name = next(f"q_id{i}" for i in range(len(docs.columns) + 1) if f"q_id{i}" not in docs.columns)
-    same = F.col("doc_id").cast("long") == F.col(name)
+    found = cut(labelled(Join(docs, width, percent)).select("id", "key", (F.col("id").eqNullSafe(F.col("first.id")) & (F.col("key") == F.col("first.key"))).alias("keep")))
+    once = found.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("keep").alias("keep"))
+    free = (x for i in range(len(docs.columns) + 4) if (x := f"q_{i}") not in docs.columns)
+    name, key, mark = next(free), next(free), next(free)
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(name))
 
     def small(ids: DataFrame) -> DataFrame:
         # so few ids go to every executor; more than that, and both sides are shuffled
-        return F.broadcast(ids) if ids.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else ids
-
-    gone = small(found.where("doc_id != component_id").select(F.col("doc_id").alias(name)).distinct())
+        ids = cut(ids)
+        return F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids
+
+    def with_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(width)
+        for batch in batches:
+            sets = [shingler.set_of(v.as_py()) for v in batch.column(place)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([key_of(s) if len(s) else None for s in sets], pa.int64())], [*batch.schema.names, key])
+
+    place = docs.columns.index("text")
+    # ids on one row with words go or stay by themselves; rows of the others are told apart by their sets
+    again = small(once.where("n > 1").select(F.col("id").alias(name)))
+    gone = small(once.where("n = 1 and not keep").select(F.col("id").alias(name)))
     left = docs.join(gone, same, "left_anti")
-    again = found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(name))
     if again.isEmpty():
         return left
-    again = small(again)
-    return left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + [f"{key} long"])
+    rows = mapped(docs.join(again, same, "left_semi"), with_key, schema)
+    kept = small(found.where("keep").select(F.col("id").alias(name), F.col("key").alias(mark)).distinct())
+    ours = rows.where(F.col(key).isNotNull()).join(kept, same & (F.col(key) == F.col(mark)), "left_semi").dropDuplicates([key])
+    return reduce(DataFrame.unionByName, (left.join(again, same, "left_anti"), rows.where(F.col(key).isNull()).drop(key), ours.drop(key)))
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links between all documents by shingles of four words at 0.85: see groups()."""
     return groups(read(spark, sf_dir, "documents"))
