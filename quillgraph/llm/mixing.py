@@ -63,15 +63,15 @@ def offset(source: Column, seed: str) -> Column:
 def plan(docs: DataFrame, keep: Sequence[str] = (), weights: Sequence[int] = WEIGHTS, share: float = SHARE, cap: int = CAP, seed: str = SEED) -> DataFrame:
     """doc_id, size, source, source_size, target, copies (and the columns `keep`) for each row of docs.
 
-    Within a source the documents stand by falling size, then doc_id; each has target/source_size expected copies,
+    Within a source the documents stand by falling size, then doc_id, then a hash of the text; each has target/source_size expected copies,
     and gets as many as there are integers between the prefix sums before and after it, both moved by the source's
     offset. Neighbours are alike in size, so the words taken miss the target by about one document's size.
     Null text has size 0; a source of size 0 has target 0 and no copies; a null source is a source of its own;
     repeated rows count each by itself; an empty table gives an empty one; columns beside doc_id, text, source and
     `keep` are not read.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), n_words(F.col("text")).alias("size"), F.col("source").alias("source"), *(F.col(c) for c in keep))
-    at = ranked(rows, "source", [F.col("size").desc(), F.col("doc_id").asc_nulls_first()], ["doc_id", "size", "source", *keep])
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), n_words(F.col("text")).alias("size"), F.col("source").alias("source"), F.xxhash64("text").alias("q_tie"), *(F.col(c) for c in keep))
+    at = ranked(rows, "source", [F.col("size").desc(), F.col("doc_id").asc_nulls_first(), F.col("q_tie")], ["doc_id", "size", "source", "q_tie", *keep])
     total = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     goal = targets(total, weights, share, cap).withColumnRenamed("source", "q_s")
     at = at.join(goal, F.col("source").eqNullSafe(F.col("q_s"))).drop("q_s")
@@ -80,20 +80,30 @@ def plan(docs: DataFrame, keep: Sequence[str] = (), weights: Sequence[int] = WEI
     return at.withColumn("copies", F.least(crossed, F.lit(cap)).cast("long")).select("doc_id", "size", "source", "source_size", "target", "copies", *keep)
 
 
+def _names(docs: DataFrame) -> list[Column]:
+    """Two 64-bit hashes of a row, of different seeds. Maps, which Spark doesn't hash, count as JSON."""
+    cols = [F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in docs.schema]
+    return [F.xxhash64(*cols).alias("q_h"), F.xxhash64(F.lit("second"), *cols).alias("q_h2")]
+
+
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The mixed corpus: the rows of docs, each as often as plan() says, with the columns of docs.
+    """The mixed corpus: the rows of docs, each as often as plan() says, with the columns of docs, whatever their names.
 
-    The plan works on ids, sizes and a hash of the row; the texts are shuffled once, to meet their number of copies.
+    The plan works on ids, sizes and hashes of 128 bits that stand for a row; the texts are shuffled once, to meet
+    their number of copies. Repeated rows are planned each by itself and come out as often as all of them together;
+    nulls and empty tables are as in plan().
     """
-    whole = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("q_row"), F.xxhash64(*(F.col(c) for c in docs.columns)).alias("q_h"))
-    copies = plan(docs.withColumn("q_h", F.xxhash64(*(F.col(c) for c in docs.columns))), keep=["q_h"], **options)
-    copies = copies.where("copies > 0").groupBy("q_h").agg(F.sum("copies").alias("q_copies"))
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("q_row"), *_names(docs))
+    named = docs.select(*(F.col(c) for c in ("doc_id", "text", "source")), *_names(docs))
+    copies = plan(named, keep=["q_h", "q_h2"], **options)
+    copies = copies.where("copies > 0").groupBy("q_h", "q_h2").agg(F.sum("copies").alias("q_copies"))
     # equal rows are one row with the sum of their copies, counted before the shuffle
-    once = whole.groupBy("q_h").agg(F.first("q_row").alias("q_row"))
-    return once.join(copies, "q_h").select("q_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("q_copies"))).alias("q_copy")).select("q_row.*")
+    once = whole.groupBy("q_h", "q_h2").agg(F.first("q_row").alias("q_row"))
+    return once.join(copies, ["q_h", "q_h2"]).select("q_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("q_copies"))).alias("q_copy")).select("q_row.*")
 
 
 def op8_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of all documents, without its texts: see plan()."""
     return plan(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 

@@ -58,3 +58,12 @@ def test_mix_emits_the_planned_copies(spark):
     out = mixing.mix(d)
     assert out.count() == planned and out.columns == d.columns
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, mixing.mix(d).collect()))
+
+
+def test_ties_and_maps(spark):
+    rows = [(1, f"w{i} x", "s", {"k": i % 3}) for i in range(40)] * 2 + [(None, "a b", None, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, m map<string, int>")
+    out = mixing.mix(d)
+    assert out.columns == d.columns and out.count() == sum(r.copies for r in mixing.plan(d).collect())
+    again = mixing.mix(spark.createDataFrame(rows[::-1], d.schema).repartition(7))
+    assert sorted(map(str, out.collect())) == sorted(map(str, again.collect()))
