@@ -7,55 +7,73 @@ from pyspark.sql import functions as F
 
 from quillgraph.llm.common import partitions, read
 
-#: Terms count by the slot their hash falls into, so tables of terms have at most so many rows whatever the corpus holds.
-SLOTS = 1 << 22
 #: A term is in the lexicon if at least LEAST and at most MOST of the documents hold it (and at least two do).
 LEAST, MOST = 0.002, 0.2
-#: Randomised subsets of the lexicon: (share of the lexicon is 1 in this, number of subsets).
-SUBSETS = ((4, 2), (16, 2), (64, 6), (256, 22))
+#: Lists that the lexicon's terms are kept in, to look a term up by its hash.
+LISTS = 1 << 15
+#: Randomised subsets of the lexicon: the terms are cut at random into so many parts, each level cutting the parts of the one before.
+LEVELS = (1, 4, 16, 64)
+#: Parts of the last level that are cut once more, into four each, to tell long texts apart; of the rest the last level has all.
+FINER = 8
 NOT_TERM = r"[^\p{L}\p{N}]+"
 
 
-def slots(text: Column) -> Column:
-    """The distinct slots of a text's terms: runs of letters and digits in lower case."""
-    words = F.filter(F.array_distinct(F.split(F.lower(text), NOT_TERM)), lambda w: w != "")
-    return F.array_distinct(F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(SLOTS)).cast("int")))
+def terms(text: Column) -> Column:
+    """Hashes (64 bits) of the distinct terms of a text: runs of letters and digits in lower case. Sorted."""
+    words = F.array_distinct(F.split(F.lower(text), NOT_TERM))
+    return F.array_sort(F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w)))
 
 
 def lexicon(docs: DataFrame, text: str, least: float = LEAST, most: float = MOST) -> DataFrame:
-    """One row, one column `bits`: 64 slots to a long, a bit is set if the slot is within the band.
+    """One row, one column `lists`: LISTS lists of the hashes of the terms within the band, a term in the list of its remainder.
 
-    Document frequencies count over all documents. The table has SLOTS / 64 longs, half a megabyte.
+    Document frequencies count over all documents, term by term. Each lexicon term is held by at least `least` of the
+    documents, so there are at most (mean number of distinct terms in a document) / least of them, however large the
+    corpus is: some 10^5 hashes of eight bytes.
     """
     n = docs.agg(F.count(F.lit(1)).alias("n")).select(F.col("n").cast("double"))
-    held = docs.select(F.explode(slots(F.col(text))).alias("slot")).groupBy("slot").agg(F.count(F.lit(1)).alias("n"))
+    held = docs.select(F.explode(terms(F.col(text))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     kept = held.withColumn("all", n.scalar()).where((F.col("n") >= 2) & (F.col("n") >= least * F.col("all")) & (F.col("n") <= F.greatest(F.lit(2.0), most * F.col("all"))))
-    words = kept.groupBy((F.col("slot") / 64).cast("int").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, slot % 64)")).alias("w"))
-    every = docs.sparkSession.range(SLOTS // 64).select(F.col("id").cast("int").alias("at"))
-    ordered = every.join(words, "at", "left").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("w", F.lit(0)).alias("w")))).alias("x"))
-    return ordered.select(F.transform("x", lambda p: p["w"]).alias("bits"))
+    found = kept.groupBy(F.pmod("term", F.lit(LISTS)).cast("int").alias("at")).agg(F.array_sort(F.collect_list("term")).alias("x"))
+    every = docs.sparkSession.range(LISTS).select(F.col("id").cast("int").alias("at"))
+    ordered = every.join(found, "at", "left").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("x", F.array().cast("array<bigint>")).alias("x")))).alias("y"))
+    return ordered.select(F.transform("y", lambda p: p["x"]).alias("lists"))
 
 
-def marks(own: Column, bits: Column) -> Column:
+def marks(own: Column, lists: Column) -> Column:
     """Hashes of the lexicon terms of a document that fall into each subset, sorted; null where none does.
 
     A document without any lexicon term has one more hash instead, of all its terms, sorted.
     """
-    known = F.sort_array(F.filter(own, lambda s: F.getbit(F.element_at(bits, F.expr("1") + F.floor(s / 64).cast("int")), s % 64) == 1))
-    return F.transform(F.array(known), lambda k: F.struct(_subsets(k).alias("parts"), F.when(F.size(k) == 0, F.xxhash64(F.sort_array(own))).alias("rest")))[0]
+    known = F.filter(own, lambda h: F.array_contains(F.element_at(lists, (F.pmod(h, F.lit(LISTS)) + 1).cast("int")), h))
+    return F.transform(F.array(known), lambda k: F.struct(_subsets(k).alias("parts"), F.when(F.size(k) == 0, F.xxhash64(own)).alias("rest")))[0]
+
+
+def _cut(parts: Column, shift: int) -> Column:
+    """Each part in four, by two bits of the terms' hashes; a term is looked at once for each of the four."""
+    four = F.array(*(F.lit(j) for j in range(4)))
+    return F.flatten(F.transform(parts, lambda p: F.transform(four, lambda j: F.filter(p, lambda h: F.shiftrightunsigned(h, shift).bitwiseAND(F.lit(3)) == j))))
 
 
 def _subsets(known: Column) -> Column:
-    def one(share: int, j: int) -> Column:
-        part = F.filter(known, lambda s: F.pmod(F.xxhash64(s, F.lit(share)), F.lit(share)) == j)
-        return F.when(F.size(part) > 0, F.xxhash64(part))
+    """Levels are cut from each other, so the work for a level is the same however many parts it has."""
+
+    def hashed(parts: Column) -> Column:
+        return F.transform(parts, lambda p: F.when(F.size(p) > 0, F.xxhash64(p)))
+
+    def levels(parts: Column, deep: int) -> Column:
+        # bits above those that choose a list
+        nxt = _cut(parts, 20 + 2 * deep)
+        if deep == len(LEVELS) - 1:
+            return F.concat(hashed(parts), F.flatten(F.transform(F.array(_cut(F.slice(parts, 1, FINER), 20 + 2 * deep)), hashed)))
+        return F.concat(hashed(parts), F.flatten(F.transform(F.array(nxt), lambda p: levels(p, deep + 1))))
 
-    return F.array(*(one(share, j) for share, many in SUBSETS for j in range(many)))
+    return levels(F.array(known), 0)
 
 
 def written(m: Column) -> Column:
-    """A fingerprint as text: hexadecimal hashes, a dot for an empty subset; `all:` and one hash without lexicon terms."""
-    parts = F.transform(m["parts"], lambda h: F.coalesce(F.lower(F.hex(h)), F.lit(".")))
+    """A fingerprint as text: hexadecimal hashes (their lower 32 bits), a dot for an empty subset; `all:` and one hash without lexicon terms."""
+    parts = F.transform(m["parts"], lambda h: F.coalesce(F.lower(F.hex(h.bitwiseAND(F.lit(0xFFFFFFFF)))), F.lit(".")))
     return F.when(m["rest"].isNull(), F.array_join(parts, ":")).otherwise(F.concat(F.lit("all:"), F.lower(F.hex(m["rest"]))))
 
 
@@ -68,23 +86,28 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def with_next(docs: DataFrame, buckets: int) -> DataFrame:
-    """Columns q_id, q_text of docs (null text: empty) with bucket, guest and the order within the bucket.
+    """Columns q_id, q_text of docs (null text: empty) with bucket, guest and the order (q_key, q_tie) within the bucket.
 
-    Buckets are ranges of ids at quantiles of all ids. The first document of the next bucket that has any is in each
-    bucket a second time, as its guest; the last bucket's guest is the first document of all. So every document has
-    the next one in its own bucket. Documents of one id stand by text; null ids come first.
+    Documents stand by id, null ids first, and those of one id by a hash of their text. Buckets are ranges of that
+    order, at quantiles of all ids; an id that holds several quantiles is cut within, by ranges of the hash, so that
+    a repeated or null id is no task of its own. The first document of the next bucket that has any is in each bucket
+    a second time, as its guest; the last bucket's guest is the first document of all. So every document has the next
+    one in its own bucket.
     """
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
     rows = docs.select(F.col("doc_id").cast("long").alias("q_id"), key.alias("q_key"), F.coalesce(F.col("text"), F.lit("")).alias("q_text"))
-    cuts = rows.agg(F.percentile_approx("q_key", [i / buckets for i in range(1, buckets)], 10_000)).first()[0] or []
-    cuts = sorted(set(cuts))
-    at = F.size(F.filter(F.array(*(F.lit(int(c)) for c in cuts)).cast("array<bigint>"), lambda c: c < F.col("q_key"))) if cuts else F.lit(0)
+    ids = rows.agg(F.percentile_approx("q_key", [i / buckets for i in range(1, buckets)], 10_000)).first()[0] or []
+    rows = rows.withColumn("q_tie", F.xxhash64("q_text"))
+    # a row is beyond a cut (id, hash) if its id is larger, or equal and its hash larger
+    cuts = [(k, -(1 << 63) + ((i + 1) << 64) // ids.count(k) - 1) for k in sorted(set(ids)) for i in range(ids.count(k))]
+    table = F.array(*(F.struct(F.lit(int(k)).cast("bigint").alias("k"), F.lit(int(h)).cast("bigint").alias("h")) for k, h in cuts))
+    at = F.size(F.filter(table, lambda c: (c["k"] < F.col("q_key")) | ((c["k"] == F.col("q_key")) & (c["h"] < F.col("q_tie"))))) if cuts else F.lit(0)
     rows = rows.withColumn("bucket", at)
-    first = rows.groupBy("bucket").agg(F.min("q_key").alias("first"))
+    first = rows.groupBy("bucket").agg(F.min(F.struct("q_key", "q_tie")).alias("first"))
     # one row for each bucket
     w = Window.partitionBy(F.lit(1)).orderBy("bucket")
-    calls = first.select("bucket", F.coalesce(F.lead("first").over(w), F.min("first").over(Window.partitionBy(F.lit(1)))).alias("q_key"))
-    guests = rows.drop("bucket").join(F.broadcast(calls), "q_key").withColumn("guest", F.lit(True))
+    calls = first.select("bucket", F.coalesce(F.lead("first").over(w), F.min("first").over(Window.partitionBy(F.lit(1)))).alias("first")).select("bucket", "first.*")
+    guests = rows.drop("bucket").join(F.broadcast(calls), ["q_key", "q_tie"]).dropDuplicates(["bucket"]).withColumn("guest", F.lit(True))
     return rows.withColumn("guest", F.lit(False)).unionByName(guests)
 
 
@@ -93,22 +116,25 @@ def fingerprint(docs: DataFrame, least: float = LEAST, most: float = MOST) -> Da
 
     The edited text is the text with its second half replaced by the beginning of the next document's. Texts cross
     the network once, by bucket; all later steps keep to that. Null text counts as empty; an empty text has no terms
-    and the fingerprint of none. Repeated rows follow each other, so each has an equal next one. Columns beside doc_id
-    and text are not read; an empty table gives an empty one; a single document is its own next one.
+    and the fingerprint of none. Repeated rows follow each other, so each has an equal next one; rows equal in id and
+    text share a bucket. Columns beside doc_id and text are not read; an empty table gives an empty one; a single
+    document is its own next one.
     """
     n = partitions(docs.sparkSession)
-    bits = lexicon(docs.select(F.coalesce(F.col("text"), F.lit("")).alias("q_text")), "q_text", least, most)
-    w = Window.partitionBy("bucket").orderBy("guest", "q_key", "q_text")
+    lists = lexicon(docs.select(F.coalesce(F.col("text"), F.lit("")).alias("q_text")), "q_text", least, most)
+    w = Window.partitionBy("bucket").orderBy("guest", "q_key", "q_tie")
     rows = with_next(docs, 4 * n).repartition(n, "bucket")
     rows = rows.withColumn("q_next", F.coalesce(F.lead("q_text").over(w), F.lit(""))).withColumn("n_chars", F.char_length("q_text").cast("long"))
     half = F.expr("cast(n_chars div 2 as int)")
+    order = ["q_id", "q_key", "q_tie", "bucket", "guest", "n_chars"]
     rows = rows.withColumn("q_edited", F.concat(F.expr("substring(q_text, 1, cast(n_chars - n_chars div 2 as int))"), F.substring(F.col("q_next"), F.lit(1), half)))
-    rows = rows.select("q_id", "q_key", "bucket", "guest", "n_chars", "q_text", F.sha2(F.col("q_edited").cast("binary"), 256).alias("edited_sha256"), slots(F.col("q_text")).alias("q_own"), slots(F.col("q_edited")).alias("q_new"))
-    rows = rows.withColumn("q_bits", bits.scalar())
-    rows = rows.select("q_id", "q_key", "bucket", "guest", "n_chars", "q_text", "edited_sha256", marks(F.col("q_own"), F.col("q_bits")).alias("q_a"), marks(F.col("q_new"), F.col("q_bits")).alias("q_b"))
+    rows = rows.select(*order, F.sha2(F.col("q_edited").cast("binary"), 256).alias("edited_sha256"), terms(F.col("q_text")).alias("q_own"), terms(F.col("q_edited")).alias("q_new"))
+    rows = rows.withColumn("q_lists", lists.scalar())
+    rows = rows.select(*order, "edited_sha256", marks(F.col("q_own"), F.col("q_lists")).alias("q_a"), marks(F.col("q_new"), F.col("q_lists")).alias("q_b"))
     rows = rows.withColumn("q_c", F.lead("q_a").over(w)).where(~F.col("guest"))
     return rows.select(F.col("q_id").alias("doc_id"), "n_chars", "edited_sha256", written(F.col("q_a")).alias("fingerprint"), written(F.col("q_b")).alias("edited_fingerprint"), likeness(F.col("q_a"), F.col("q_b")).alias("near_edited"), likeness(F.col("q_a"), F.col("q_c")).alias("near_next"))
 
 
 def op5_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """I-Match fingerprints of all documents and of their edited texts: see fingerprint()."""
     return fingerprint(read(spark, sf_dir, "documents"))
