@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
+import json
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,8 +18,8 @@ from pyspark.sql import functions as F
 from quillgraph.llm.common import bounded_sample, mapped, read
 
 KINDS = ("email", "ip", "card", "phone")
-#: Characters of a window, and from one window's start to the next; a span of up to WINDOW - STRIDE lies whole in one.
-WINDOW, STRIDE = 96, 48
+#: Characters of a window, and from one window's start to the next; a span of under WINDOW - STRIDE lies whole in one.
+WINDOW, STRIDE = 144, 48
 EMBED, HIDDEN, TAGS = 12, 20, 1 + 2 * len(KINDS)
 SURE = 0.9
 SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
@@ -38,6 +42,12 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def at_most_255(digits: str) -> bool:
+    """Also of very many digits, which int() refuses."""
+    d = digits.lstrip("0")
+    return len(d) <= 3 and int(d or "0") <= 255
+
+
 def emails(text: str) -> Iterator[tuple[int, int]]:
     """Leftmost matches of the email pattern, in time linear in the text: from each @ to both sides."""
     last, at = 0, text.find("@")
@@ -57,7 +67,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, end, kind) of the patterns' matches that pass their kind's test, by start and then kind."""
     out = [(a, b, 0) for a, b in emails(text)] if "@" in text else []
     if _DIGIT.search(text):
-        out += [(m.start(), m.end(), 1) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+        out += [(m.start(), m.end(), 1) for m in _IP.finditer(text) if all(at_most_255(p) for p in m[0].split("."))]
         for m in _CARD.finditer(text):
             d = m[0].replace(" ", "").replace("-", "")
             if 12 <= len(d) <= 19 and luhn(d):
@@ -249,17 +259,27 @@ def invented(rng: np.random.Generator) -> tuple[str, int]:
     return str(rng.choice([f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"+{rng.integers(1, 99)} {a} {b} {c}", f"+{rng.integers(1, 9)}/{a}/{b}-{c}"])), kind
 
 
-def lessons(texts: list[str], rng: np.random.Generator, planted: int) -> tuple[np.ndarray, np.ndarray]:
-    """Windows with labelled spans: around the patterns' own matches and other digits, and with invented spans put in."""
-    rows, bare = [], []
-    for text in texts:
-        spans = base_spans(text)
-        for m in list(_SIGN.finditer(text))[:20]:
-            a = max(0, m.start() - int(rng.integers(0, WINDOW - 8)))
-            rows.append(tagged(text[a : a + WINDOW], [(s - a, min(e - a, WINDOW), k) for s, e, k in spans if s - a < WINDOW and e > a and s >= a]))
-        for a in rng.integers(0, max(1, len(text) - WINDOW), 4).tolist():
-            if not _SIGN.search(t := text[a : a + WINDOW]):
-                bare.append(t)
+def drawn(text: str, places: int, plain: int) -> tuple[list[tuple[str, list]], list[str]]:
+    """Windows of a text with their pattern spans, around `places` random ones of all its digits and @, and up to `plain` windows without any.
+
+    Depends on the text alone. Spans that a window cuts on its left aren't marked in it, as decoding leaves those to
+    the window before.
+    """
+    rng = np.random.default_rng(zlib.crc32(text.encode("utf-8", "replace")))
+    spans, signs = base_spans(text), [m.start() for m in _SIGN.finditer(text)]
+    starts = [s[0] for s in spans]
+    rows = []
+    for at in rng.choice(signs, min(places, len(signs)), replace=False).tolist() if signs else ():
+        a = max(0, at - int(rng.integers(0, WINDOW - 8)))
+        near = spans[bisect.bisect_left(starts, a) : bisect.bisect_left(starts, a + WINDOW)]
+        rows.append((text[a : a + WINDOW], [(s - a, min(e - a, WINDOW), k) for s, e, k in near]))
+    some = [text[a : a + WINDOW] for a in rng.integers(0, max(1, len(text) - WINDOW), plain).tolist()]
+    return rows, [t for t in some if not _SIGN.search(t)]
+
+
+def lessons(found: list[tuple[str, list]], bare: list[str], rng: np.random.Generator, planted: int, plain: int = 200) -> tuple[np.ndarray, np.ndarray]:
+    """Training windows: the found ones, `planted` bare ones with an invented span put in, and `plain` bare ones as they are."""
+    rows = [tagged(*x) for x in found]
     for _ in range(planted if bare else 0):
         t = bare[int(rng.integers(0, len(bare)))]
         s, kind = invented(rng)
@@ -267,18 +287,18 @@ def lessons(texts: list[str], rng: np.random.Generator, planted: int) -> tuple[n
         if at < 0 or at + 1 + len(s) > WINDOW:
             continue
         rows.append(tagged((t[: at + 1] + s + t[at:])[:WINDOW], [(at + 1, at + 1 + len(s), kind)]))
-    rows += [tagged(t, []) for t in bare[:200]]
+    rows += [tagged(bare[i], []) for i in rng.permutation(len(bare))[:plain]]
     return np.array([r[0] for r in rows]).reshape(-1, WINDOW), np.array([r[1] for r in rows]).reshape(-1, WINDOW)
 
 
-def train(texts: list[str], planted: int = 1600, epochs: int = 8, batch: int = 64, seed: int = 11) -> dict[str, np.ndarray]:
-    """The network's arrays after `epochs` of Adam over the lessons drawn from texts. No texts: an untrained network that marks nothing."""
+def train(found: list[tuple[str, list]], bare: list[str], planted: int = 1600, epochs: int = 8, batch: int = 64, seed: int = 11) -> dict[str, np.ndarray]:
+    """The network's arrays after `epochs` of Adam over lessons(). Without windows: an untrained network that marks nothing."""
     rng = np.random.default_rng(seed)
     net = Net.fresh(rng)
     net.p["bias"][0] = 3
-    x, y = lessons(texts, rng, planted)
-    m, v, step = ({k: np.zeros_like(net.p[k]) for k in Net.NAMES} for _ in range(2)), None, 0
-    m, v = m
+    x, y = lessons(found, bare, rng, planted)
+    m, v = ({k: np.zeros_like(net.p[k]) for k in Net.NAMES} for _ in range(2))
+    step = 0
     for epoch in range(epochs):
         order = rng.permutation(len(x))
         for i in range(0, len(order), batch):
@@ -310,7 +330,7 @@ def reconcile(found: dict[tuple[int, int, int], float]) -> list[tuple[int, int,
     ends = [s[1] for s in spans]
     best, took = [0.0], []
     for i, s in enumerate(spans):
-        j = int(np.searchsorted(ends[:i], s[0], side="right"))
+        j = bisect.bisect_right(ends, s[0], 0, i)
         with_it = best[j] + found[s]
         took.append((with_it > best[-1], j))
         best.append(max(best[-1], with_it))
@@ -348,7 +368,8 @@ def all_spans(texts: list[str], net: Net) -> list[tuple[list, list]]:
     out = []
     for text, more in zip(texts, model_spans(texts, net), strict=True):
         base = base_spans(text)
-        added = [s for s in more if plausible(s[2], text[s[0] : s[1]]) and not any(s[0] < b[1] and b[0] < s[1] for b in base)]
+        starts, reach = [s[0] for s in base], [0, *itertools.accumulate((s[1] for s in base), max)]
+        added = [s for s in more if plausible(s[2], text[s[0] : s[1]]) and reach[bisect.bisect_left(starts, s[1])] <= s[0]]
         out.append((base, added))
     return out
 
@@ -357,18 +378,35 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, b, k in sorted(spans, key=lambda s: (s[0], s[2], s[1])))
 
 
-def fit(docs: DataFrame, n_docs: int = 800) -> dict[str, np.ndarray]:
-    """The network, trained on about n_docs texts with a digit or an @: their pattern spans are the labels, beside invented ones."""
+def fit(docs: DataFrame, n_docs: int = 800, places: int = 8, plain: int = 4) -> dict[str, np.ndarray]:
+    """The network, trained on windows of about n_docs texts with a digit or an @: pattern spans are the labels, beside invented ones.
+
+    Of each text, `places` windows around its digits and @ and `plain` bare ones are drawn where the text is, from all
+    of it; so at most n_docs * (places + plain) windows come to the driver, however long the texts are. Null texts are
+    left out; of repeated rows one counts.
+    """
     rows = docs.where(F.col("text").rlike("[0-9@]")).select(F.lit(1).alias("k"), F.col("doc_id").alias("id"), F.col("text").alias("t"))
-    texts = [r.t for r in bounded_sample(rows, "k", ["id"], n_docs).orderBy("id", "t").toLocalIterator()]
-    return train(texts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [json.dumps(drawn(v.as_py(), places, plain)) for v in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["w"])
+
+    found, bare = [], []
+    for r in mapped(bounded_sample(rows, "k", ["id", "t"], n_docs).select("t").distinct(), run, "w string").orderBy("w").toLocalIterator():
+        some, more = json.loads(r.w)
+        found += [(t, [tuple(s) for s in spans]) for t, spans in some]
+        bare += more
+    return train(found, bare)
 
 
 def find(docs: DataFrame, params: dict[str, np.ndarray]) -> DataFrame:
     """One row for each row of docs with its counts of pattern spans, their digest, and all spans.
 
-    Null text counts as empty: no spans, the digest of an empty string. Whole texts are searched. Repeated rows give
-    repeated results; columns beside doc_id and text are not read; an empty table gives an empty one.
+    Null text counts as empty: no spans, the digest of an empty string. Whole texts are searched, in time linear in
+    their length; what the model adds is shorter than WINDOW - STRIDE characters. A batch of texts and 512 windows are
+    in memory at a time. Repeated rows give repeated results; columns beside doc_id and text are not read; an empty
+    table gives an empty one.
     """
     shared = docs.sparkSession.sparkContext.broadcast(params)
 
@@ -400,7 +438,11 @@ def without(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 
 def redact(docs: DataFrame, params: dict[str, np.ndarray]) -> DataFrame:
-    """docs with each span of `text` replaced by its kind in angle brackets; overlapping spans are replaced as one. Null stays null."""
+    """docs with each span of `text` replaced by its kind in angle brackets; overlapping spans are replaced as one.
+
+    Null stays null, other columns stay as they are, whatever their names; repeated rows stay repeated; an empty table
+    gives an empty one.
+    """
     shared, names = docs.sparkSession.sparkContext.broadcast(params), docs.columns
     place = names.index("text")
 
@@ -416,5 +458,6 @@ def redact(docs: DataFrame, params: dict[str, np.ndarray]) -> DataFrame:
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents, by patterns and a network trained on them: see find()."""
     docs = read(spark, sf_dir, "documents")
     return find(docs, fit(docs))

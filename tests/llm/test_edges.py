@@ -50,13 +50,13 @@ def test_one_row_each(spark, name):
 @pytest.mark.parametrize("name", [*OPERATORS, "packing", "mix", "redact", "one_of_each", "keep_clean"])
 def test_empty_table(spark, name):
     d = docs(spark, [])
-    more = {"packing": lambda: packing.pack(d, tokenizer()), "mix": lambda: mixing.mix(d), "redact": lambda: pii.redact(d, pii.train([])), "one_of_each": lambda: jaccard.one_of_each(d), "keep_clean": lambda: toxicity.keep_clean(d, toxicity.fit(d, spark.createDataFrame([], "doc_id long, toxic int"), F.lit(True)))}
+    more = {"packing": lambda: packing.pack(d, tokenizer()), "mix": lambda: mixing.mix(d), "redact": lambda: pii.redact(d, pii.train([], [])), "one_of_each": lambda: jaccard.one_of_each(d), "keep_clean": lambda: toxicity.keep_clean(d, toxicity.fit(d, spark.createDataFrame([], "doc_id long, toxic int"), F.lit(True)))}
     assert (more[name]() if name in more else OPERATORS[name](d)).count() == 0
 
 
 def test_rows_with_their_columns(spark):
     d = docs(spark)
-    for out in (mixing.mix(d), pii.redact(d, pii.train([])), jaccard.one_of_each(d), toxicity.keep_clean(d, toxicity.fit(d, spark.createDataFrame([], "doc_id long, toxic int"), F.lit(True)))):
+    for out in (mixing.mix(d), pii.redact(d, pii.train([], [])), jaccard.one_of_each(d), toxicity.keep_clean(d, toxicity.fit(d, spark.createDataFrame([], "doc_id long, toxic int"), F.lit(True)))):
         assert out.columns == d.columns and set(r.key for r in out.collect()) <= {"clash"}
 
 
@@ -81,6 +81,32 @@ def test_repeated_rows(spark):
     assert len(copies) == 9
 
 
+RUNS = {c: c * 2_000_000 for c in ("a", "0", ".", "@", "+", " ", "\n", "é")} | {"1.": "1." * 1_000_000, "a ": "a " * 1_000_000, "0.": "0" * 5000 + ".1.1.1"}
+
+
+@pytest.mark.parametrize("run", RUNS)
+def test_very_long_runs(spark, run):
+    """Two million characters of one kind, alone and before other text."""
+    for text in (RUNS[run], RUNS[run] + "b"):
+        assert len(packing.Encoder(tokenizer(), True).encode(text)) % 4 == 0
+        pii.all_spans([text], pii.Net.fresh(np.random.default_rng(1)) if len(run) > 1 and len(text) < 10_000 else Silent())
+        assert len(jaccard.Shingler(4).set_of(text)) <= 5
+        assert 0 <= toxicity.Scorer(toxicity.train(["bad word", "good word"] * 8, np.array([1, 0] * 8), ["en"] * 16, epochs=1)).score(text) <= 1
+    rows = [(1, text, "en", "s", 1)]
+    assert language.classify(docs(spark, rows), {"en": b"one two", "fr": b"un deux"}, held()).count() == 1
+    assert quality.classify(docs(spark, rows), quality.Model(b"one two three", b"### $$$", 100.0, 0.0), held()).count() == 1
+
+
+class Silent(pii.Net):
+    """A network that looks at no window: the others of its kind would take minutes here."""
+
+    def __init__(self):
+        super().__init__({})
+
+    def decode(self, ids):
+        return np.zeros(ids.shape, int), np.ones(ids.shape)
+
+
 def test_chat(spark):
     rows = [(1, 0, "user", "a"), (1, 0, "user", "a"), (1, 1, "assistant", None), (None, 0, None, "x"), (2, None, "assistant", "</s>"), (3, 0, "assistant", "y" * 50_000)]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("ids", F.lit("clash"))

@@ -27,6 +27,21 @@ def test_patterns_are_the_stated_ones(text):
     assert pii.base_spans(text) == brute(text)
 
 
+def test_windows_are_drawn_from_the_whole_text():
+    text = ("plain words without any sign at all " * 20 + "call +1 (300) 555-1000 now ") * 200
+    found, bare = pii.drawn(text, 50, 20)
+    assert len(found) == 50 and bare and pii.drawn(text, 50, 20) == (found, bare)
+    at = [text.find(w) for w, _ in found]
+    assert all(a >= 0 for a in at) and all(w[a:b].startswith("+1") for w, s in found for a, b, _ in s)
+    assert pii.drawn("", 5, 5) == ([], [""] * 5) and pii.drawn("1", 5, 0) == ([("1", [])], [])
+
+
+def test_very_many_digits():
+    for text in ("0" * 5000 + ".1.1.1", "1" * 5000 + ".1.1.1", "1.1.1." + "0" * 5000 + "7"):
+        assert pii.base_spans(text) == ([(0, len(text), 1)] if text[0] != "1" or text[1] == "." else [])
+    assert pii.at_most_255("0" * 9000) and pii.at_most_255("0255") and not pii.at_most_255("256")
+
+
 def test_long_runs_take_linear_time():
     for text in ("a" * 200_000, "1" * 200_000, "a@" * 100_000, "1." * 100_000, "+1(" * 70_000, "@" * 200_000):
         pii.base_spans(text)
@@ -93,18 +108,20 @@ def test_windows_hold_every_sign():
 
 def test_trained_network_adds_spellings_and_leaves_prose():
     prose = ["plain words in a row that say nothing much at all and go on for a while without end " * 4 + f"call +1 ({300 + i}) 555-{1000 + i} or mail ab.{10 + i}@mail{i % 9}.example.com end" for i in range(60)]
-    net = pii.Net(pii.train(prose, planted=1600, epochs=6))
-    found = [len(a) for _, a in pii.all_spans(["nothing to see in these words at all", "version 2.0 of the 3rd text"], net)]
-    assert found == [0, 0]
+    parts = [pii.drawn(t, 8, 4) for t in prose]
+    found, bare = [w for f, _ in parts for w in f], [t for _, b in parts for t in b]
+    net = pii.Net(pii.train(found, bare, planted=1600, epochs=6))
+    added = [len(a) for _, a in pii.all_spans(["nothing to see in these words at all", "version 2.0 of the 3rd text"], net)]
+    assert added == [0, 0]
     rng = np.random.default_rng(9)
-    x, y = pii.lessons(prose, rng, 300)
+    x, y = pii.lessons(found, bare, rng, 300)
     tags, _ = net.decode(x)
     assert (tags == y)[y > 0].mean() > 0.85
 
 
 def test_redaction(spark):
     d = spark.createDataFrame([(1, "a x.y@z.com b 10.0.0.1"), (2, None)], "doc_id long, text string")
-    got = {r.doc_id: r.text for r in pii.redact(d, pii.train([])).collect()}
+    got = {r.doc_id: r.text for r in pii.redact(d, pii.train([], [])).collect()}
     assert got == {1: "a <EMAIL> b <IP>", 2: None}
 
 
@@ -116,7 +133,7 @@ def test_redaction_of_overlapping_spans(spark):
         "pay 4111 1111 1111 1111 10.0.0.0 end": "pay <CARD> <IP> end",
     }
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert [r.text for r in pii.redact(d, pii.train([])).orderBy("doc_id").collect()] == list(texts.values())
+    assert [r.text for r in pii.redact(d, pii.train([], [])).orderBy("doc_id").collect()] == list(texts.values())
 
 
 @settings(max_examples=3000, deadline=None)
