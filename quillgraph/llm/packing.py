@@ -26,13 +26,15 @@ class Encoder:
     """Ids of texts by the byte-level BPE in a tokenizer.json.
 
     The ids of such a vocabulary are the ranks of its merges, so tiktoken gives the same ids from them in a fifth of
-    the time; the tests hold both against each other. `added`: the file's added tokens are read in a text, as
-    tokenizers does by default; else their characters are encoded like any others.
+    the time; the tests hold both against each other. tiktoken refuses runs of white space beyond what its patterns
+    can track back (about a million); such a text is left to tokenizers itself. `added`: the file's added tokens are
+    read in a text, as tokenizers does by default; else their characters are encoded like any others.
     """
 
     def __init__(self, path: str, added: bool = False):
         import tiktoken
 
+        self._path, self._added, self._slow = path, added, None
         with open(path, encoding="utf-8") as f:
             stored = json.load(f)
         tokens = stored.get("added_tokens", ())
@@ -47,7 +49,17 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        return self._encode(text, allowed_special="all", disallowed_special=()).astype("<u4", copy=False).tobytes() if text else b""
+        if not text:
+            return b""
+        try:
+            return self._encode(text, allowed_special="all", disallowed_special=()).astype("<u4", copy=False).tobytes()
+        except ValueError:
+            if self._slow is None:
+                from tokenizers import Tokenizer
+
+                self._slow = Tokenizer.from_file(self._path)
+                self._slow.encode_special_tokens = not self._added
+            return np.array(self._slow.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 def pieces(docs: DataFrame, path: str, length: int = LENGTH, end: int = 0) -> DataFrame:
@@ -172,4 +184,5 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> Data
 
 
 def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 2048 tokens: see pack()."""
     return pack(read(spark, sf_dir, "documents"))

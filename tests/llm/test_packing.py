@@ -42,6 +42,12 @@ def test_pieces_read_added_tokens(spark):
     assert want == [64, 220, 50256, 275, 0] and (r.length, r.ids_crc32) == (5, zlib.crc32(np.array(want, "<u4").tobytes()))
 
 
+def test_long_runs_of_white_space():
+    for text in (" " * 1_200_000 + "a", "\n" * 1_200_000 + "b", "a" + "\t" * 1_200_000 + "<|endoftext|>"):
+        assert np.frombuffer(READER.encode(text), "<u4").tolist() == DEFAULT.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(ENCODER.encode(text), "<u4").tolist() == ids(text)
+
+
 def test_one_long_word():
     text = "ab" * 20_000
     assert np.frombuffer(ENCODER.encode(text), "<u4").tolist() == ids(text)
