@@ -55,18 +55,21 @@ def line(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, float]:
     return float(c[0] / scale), float(c[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = 2000, dictionary_bytes: int = 400_000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = 2000, dictionary_bytes: int = 400_000, longest: int = 200_000) -> Model:
     """Dictionaries from half of a bounded sample of labelled rows (about per_class of each class), the line from the rest.
 
-    Only label rows where `learn` holds count; null labels or texts don't. Without rows of both classes the
+    A dictionary of dictionary_bytes takes an equal share of each of its texts: see content(). The line is fitted to
+    whole texts. Labelled texts of over `longest` characters aren't drawn, so that what comes to the driver has a
+    bound; scoring has no such limit. Of several texts of one id one is taken. Only label rows where `learn` holds count; null labels or texts don't. Without rows of both classes the
     score is 0.5 for any text.
     """
     marks = labels.where(learn & F.col("quality").isin(0, 1)).select(F.col("doc_id").alias("id"), F.col("quality").alias("y"))
     picked = bounded_sample(marks, "y", ["id"], per_class)
     # about 2 * per_class ids, so this side is small whatever the corpus holds
-    rows = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").alias("id"), F.col("text").alias("t")).join(F.broadcast(picked), "id").withColumn("h", spread(F.col("id"), F.lit("half")))
+    rows = docs.where(F.col("text").isNotNull() & (F.char_length("text") <= longest)).select(F.col("doc_id").alias("id"), F.col("text").alias("t")).join(F.broadcast(picked.distinct()), "id")
+    rows = rows.groupBy("id", "y").agg(F.min("t").alias("t")).withColumn("h", spread(F.col("id"), F.lit("half")))
     texts: dict[tuple[int, bool], list[bytes]] = {}
-    for r in rows.orderBy("id").toLocalIterator():
+    for r in rows.orderBy("id", "y").toLocalIterator():
         texts.setdefault((r.y, r.h < 0.5), []).append(r.t.encode("utf-8", "replace"))
     good, bad = (content(texts.get((k, True), []), dictionary_bytes) for k in (1, 0))
     if not good or not bad:
@@ -97,6 +100,7 @@ def classify(docs: DataFrame, model: Model, held_out: Column) -> DataFrame:
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents, learned outside the hold-out fold: see classify()."""
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     held = F.coalesce(id_remainder(F.col("doc_id"), 3) == 1, F.lit(False))
     return classify(docs, fit(docs, labels, ~held), held)

@@ -18,22 +18,21 @@ TOKEN = re.compile(r"\w+")
 #: Letters of a word's beginning that have an embedding of their own, added to the word's.
 PREFIX = 4
 DIM, FILTERS, WIDTHS = 8, 8, (1, 2, 3)
-#: Languages that get a threshold of their own, the most frequent first; words that a worker remembers.
-LANGUAGES, MEMORY = 16, 60_000
-#: Rows of each class from which a threshold is trusted.
-FEW = 15
+#: Buckets that words, and apart from them their beginnings, are hashed into; words that a worker remembers.
+BUCKETS, MEMORY = 1 << 22, 60_000
+#: Of each class every so many-th row calibrates. Rows of the rarer class at which a threshold counts as much as what it leans on.
+HELD, LEAN = 4, 5
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 
 
 def hashes(word: str) -> tuple[int, int]:
-    """Ids of a word and of its beginning, of 63 bits; the two don't meet."""
-    b, p = word.encode("utf-8", "replace"), word[:PREFIX].encode("utf-8", "replace")
-    return zlib.crc32(b) << 31 | zlib.crc32(b, 1) >> 1, zlib.crc32(p, 2) << 31 | zlib.crc32(p, 3) >> 1
+    """Buckets of a word and of its beginning."""
+    return zlib.crc32(word.encode("utf-8", "replace")) % BUCKETS, BUCKETS + zlib.crc32(word[:PREFIX].encode("utf-8", "replace")) % BUCKETS
 
 
 @dataclass(frozen=True)
 class Model:
-    """ids: sorted hashes that have an embedding (others have zeros); taps: filters of each width; lines: slope and shift by language, the last for any other."""
+    """ids: sorted buckets that have an embedding (others have zeros); taps: filters of each width; lines: slope and shift by language, the last for any other."""
 
     ids: np.ndarray
     table: np.ndarray
@@ -52,12 +51,17 @@ class Model:
         return (self.table[at] * known[..., None]).sum(1), self.spoken[at[:, 0]] * known[:, :1]
 
 
+def padded(g: np.ndarray) -> np.ndarray:
+    """Rows of words with rows of zeros after them, so that the widest filter finds a place."""
+    return np.concatenate([g, np.zeros((max(WIDTHS) - len(g), g.shape[1]), g.dtype)]) if len(g) < max(WIDTHS) else g
+
+
 def pooled(parts: list[np.ndarray], bias: np.ndarray) -> np.ndarray:
     """The largest response of each filter; parts[w][j] is what words give to tap j of the filters of width w."""
     out = []
     for taps in parts:
         n = len(taps[0]) - len(taps) + 1
-        out.append(sum(t[j : j + n] for j, t in enumerate(taps)).max(0) if n > 0 else np.zeros(FILTERS, np.float32))
+        out.append(sum(t[j : j + n] for j, t in enumerate(taps)).max(0))
     return np.maximum(np.concatenate(out) + bias, 0)
 
 
@@ -91,8 +95,8 @@ class Scorer:
         """The classifier's log odds, and the language that the words look like."""
         m, tokens = self.model, TOKEN.findall((text or "").lower())
         best, spoken, cut = np.zeros(FILTERS * len(WIDTHS), np.float32), np.zeros(m.spoken.shape[1]), 20_000
-        for i in range(0, len(tokens), cut):
-            g = self.words(tokens[i : i + cut + max(WIDTHS) - 1])
+        for i in range(0, max(1, len(tokens)), cut):
+            g = padded(self.words(tokens[i : i + cut + max(WIDTHS) - 1]))
             parts, at = [], 0
             for w in WIDTHS:
                 parts.append([g[:, at + j * FILTERS : at + (j + 1) * FILTERS] for j in range(w)])
@@ -108,9 +112,10 @@ class Scorer:
 
 
 def train(texts: list[str], y: np.ndarray, langs: list[str | None], epochs: int = 8, seed: int = 7) -> Model:
-    """Fits the model: three quarters of the rows train the network, the rest calibrate its thresholds.
+    """Fits the model: of each class three quarters of the rows train the network, the rest calibrate its thresholds.
 
-    Embeddings start from how much more often a word stands in texts of class 1. Only words and beginnings in at
+    A language has a threshold of its own if it has rows of both classes among the latter; the fewer, the more it
+    leans on the one of all languages. Embeddings start from how much more often a word stands in texts of class 1. Only words and beginnings in at
     least two texts get one. Adagrad on minibatches; a max-pooled filter learns from the position that won.
     """
     rng = np.random.default_rng(seed)
@@ -119,16 +124,21 @@ def train(texts: list[str], y: np.ndarray, langs: list[str | None], epochs: int
     words = [np.array([vocab.setdefault(w, len(vocab)) for w in TOKEN.findall(t.lower())], dtype=np.int32) for t in texts]
     pair = np.array([hashes(w) for w in vocab], dtype=np.int64).reshape(-1, 2)
     del vocab
-    train_rows = rng.random(len(words)) < 0.75 if len(words) >= 40 else np.ones(len(words), bool)
+    nth = np.zeros(len(words), int)
+    for k in (0, 1):
+        nth[y == k] = rng.permutation((y == k).sum())
+    train_rows = nth % HELD != 1
     ids, back = np.unique(pair, return_inverse=True)
     back = back.reshape(-1, 2)
-    names = [k for k, _ in sorted({k: langs.count(k) for k in set(langs) if k is not None}.items(), key=lambda x: (-x[1], x[0]))[:LANGUAGES]]
+    seen = [{langs[i] for i in np.flatnonzero(~train_rows & (y == k))} for k in (0, 1)]
+    names = sorted(k for k in seen[0] & seen[1] if k is not None)
+    number = {k: i for i, k in enumerate(names)}
     count, spoken = np.zeros((2, len(ids))), np.zeros((len(ids), max(1, len(names))), np.float32)
     for i in np.flatnonzero(train_rows):
         u = np.unique(back[words[i]])
         count[int(y[i]), u] += 1
-        if langs[i] in names:
-            spoken[u, names.index(langs[i])] += 1
+        if langs[i] in number:
+            spoken[u, number[langs[i]]] += 1
     kept = np.flatnonzero(count.sum(0) >= 2)
     place = np.full(len(ids), len(kept))
     place[kept] = np.arange(len(kept))
@@ -154,7 +164,10 @@ def train(texts: list[str], y: np.ndarray, langs: list[str | None], epochs: int
         squares[name] = squares[name] + grad * grad
         return rate * grad / np.sqrt(squares[name])
 
-    order = np.flatnonzero(train_rows & np.array([len(w) >= max(WIDTHS) for w in words], bool))
+    # short texts end in words that have no embedding, as padded() gives them
+    back = np.concatenate([back, np.full((1, 2), len(kept))])
+    words = [np.concatenate([w, np.full(max(0, max(WIDTHS) - len(w)), len(back) - 1, np.int32)]) for w in words]
+    order = np.flatnonzero(train_rows)
     weight = np.where(y == 1, 0.5 / total[1], 0.5 / total[0]) * total.sum()
     for _ in range(epochs):
         rng.shuffle(order)
@@ -199,14 +212,24 @@ def train(texts: list[str], y: np.ndarray, langs: list[str | None], epochs: int
             table[-1] = 0
     model = Model(ids[kept] if len(kept) else np.array([-1]), table[:-1] if len(kept) else np.zeros((1, DIM), np.float32), taps, bias, dense, rest, spoken if len(kept) else np.zeros((1, max(1, len(names))), np.float32), np.array([[1.0, 0.0]] * (len(names) + 1)))
     scorer = Scorer(model)
-    checked = np.flatnonzero(~train_rows) if not train_rows.all() else np.arange(len(words))
+    checked = np.flatnonzero(~train_rows)
     found = [(*scorer.logit(texts[i]), y[i]) for i in checked]
     z, guess, truth = (np.array(v) for v in zip(*found, strict=True)) if found else (np.zeros(0),) * 3
-    everyone = threshold(z, truth)
-    lines = [threshold(z[guess == k], truth[guess == k]) if min((truth[guess == k] == c).sum() for c in (0, 1)) >= FEW else everyone for k in range(len(names))]
+    everyone = np.array(threshold(z, truth))
+    lines = []
+    for k in range(len(names)):
+        own = truth[guess == k]
+        trust = leaning(own)
+        lines.append(trust * np.array(threshold(z[guess == k], own)) + (1 - trust) * everyone if trust else everyone)
     return Model(*astuple(model)[:-1], np.array([*lines, everyone]))
 
 
+def leaning(y: np.ndarray) -> float:
+    """How far a threshold from these rows is trusted: from 0 to under 1."""
+    m = min((y == c).sum() for c in (0, 1))
+    return float(m / (m + LEAN))
+
+
 def threshold(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Slope and shift: the shift is the middle of the widest stretch of log odds that tells the classes apart best."""
     if not len(z) or len(set(y.tolist())) < 2:
@@ -220,23 +243,26 @@ def threshold(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     ok = (gain >= gain.max() - 1e-9) & (width > 0)
     i = int(np.where(ok, width, -1).argmax())
     gap, shift = v[k == 1].mean() - v[k == 0].mean(), (edge[i] + edge[i + 1]) / 2
-    if min((k == c).sum() for c in (0, 1)) < FEW:
-        # a stretch between so few rows says little: stay clear of what class 0 may reach
-        shift = max(shift, v[k == 0].mean() + 2 * v[k == 0].std())
+    # a stretch between few rows says little: the fewer they are, the more it stays clear of what class 0 may reach
+    trust = leaning(k)
+    shift = trust * shift + (1 - trust) * max(shift, v[k == 0].mean() + 2 * v[k == 0].std())
     return float(6 / max(gap, 1e-3)) if gap > 0 else 1.0, float(shift)
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = 3000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = 3000, longest: int = 200_000) -> Model:
     """A model from about per_class labelled rows of each class; only label rows where `learn` holds count.
 
+    Labelled texts of over `longest` characters aren't drawn, so that what comes to the driver has a bound; scoring
+    has no such limit. Of several texts of one id one is taken.
+
     lang is used while fitting alone: it names the groups that get a threshold of their own, which at scoring are
     recognised by their words. Null texts and labels are left out. Without both classes every score is 0.5 or under.
     """
     marks = labels.where(learn & F.col("toxic").isin(0, 1)).select(F.col("doc_id").alias("id"), F.col("toxic").alias("y"))
     picked = bounded_sample(marks, "y", ["id"], per_class)
     # about 2 * per_class ids, so this side is small whatever the corpus holds
-    rows = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").alias("id"), F.col("text").alias("t"), F.col("lang").alias("l")).join(F.broadcast(picked), "id")
-    got = list(rows.orderBy("id", "y").toLocalIterator())
+    rows = docs.where(F.col("text").isNotNull() & (F.char_length("text") <= longest)).select(F.col("doc_id").alias("id"), F.col("text").alias("t"), F.col("lang").alias("l")).join(F.broadcast(picked.distinct()), "id")
+    got = list(rows.groupBy("id", "y").agg(F.min(F.struct("t", "l")).alias("x")).select("id", "y", "x.*").orderBy("id", "y").toLocalIterator())
     y = np.array([r.y for r in got], dtype=int)
     if len(set(y.tolist())) < 2:
         return Model(np.array([-1]), np.zeros((1, DIM), np.float32), [np.zeros((w, DIM, FILTERS), np.float32) for w in WIDTHS], np.zeros(FILTERS * len(WIDTHS), np.float32), np.zeros(FILTERS * len(WIDTHS), np.float32), 0.0, np.zeros((1, 1), np.float32), np.array([[1.0, 1e-6]] * 2))
@@ -246,7 +272,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = 3000
 def classify(docs: DataFrame, model: Model, held_out: Column) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of docs, from its whole text alone.
 
-    Null counts as an empty text; a text without words scores what the bias alone gives. Repeated rows give repeated
+    Null counts as an empty text; a text without words scores what the bias alone gives. A long text is scored 20,000
+    words at a time. Repeated rows give repeated
     results; other columns of docs are not read; an empty table gives an empty one.
     """
     shared = docs.sparkSession.sparkContext.broadcast(astuple(model))
@@ -261,7 +288,10 @@ def classify(docs: DataFrame, model: Model, held_out: Column) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs whose text scores under 0.5, with all their columns; null counts as an empty text."""
+    """The rows of docs whose text scores under 0.5, with all their columns, whatever their names; null counts as an empty text.
+
+    Repeated rows stay repeated; an empty table gives an empty one.
+    """
     shared, place = docs.sparkSession.sparkContext.broadcast(astuple(model)), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,6 +303,7 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learned outside the hold-out fold: see classify()."""
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     held = F.coalesce(id_remainder(F.col("doc_id"), 5) == 0, F.lit(False))
     return classify(docs, fit(docs, labels, ~held), held)

@@ -5,6 +5,10 @@ from __future__ import annotations
 import zstandard
 
 
+#: Bytes of a slice that a long text gives to a dictionary.
+SLICE = 256
+
+
 class Codec:
     """Compressed sizes of texts under one raw-content dictionary.
 
@@ -25,11 +29,12 @@ class Codec:
 
 
 def content(texts: list[bytes], limit: int) -> bytes:
-    """A dictionary of at most `limit` bytes: each text gives an equal share, from its middle where it is longer."""
+    """A dictionary of at most `limit` bytes: each text gives an equal share, in slices from all over it where it is longer."""
     out, left = [], limit
     for i, t in enumerate(sorted(texts, key=len)):
         share = left // (len(texts) - i)
-        a = max(0, (len(t) - share) // 2)
-        out.append(t[a : a + share])
+        slices = min(-(-share // SLICE), 8) if len(t) > share else 1
+        step, each = len(t) // slices, share // slices
+        out.append(b"".join(t[k * step : k * step + each] for k in range(slices)) if len(t) > share else t)
         left -= len(out[-1])
     return b"\n".join(out)[-limit:]

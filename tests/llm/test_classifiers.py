@@ -32,6 +32,21 @@ def test_language(spark):
     assert len(got) == 1000 and np.mean([r.lang_pred == r.lang for r in held]) > 0.96 and all(0 <= r.score <= 1 for r in got)
 
 
+def test_only_letters_make_a_language(spark):
+    d = spark.createDataFrame([(1, "² ½ ① _ 12"), (2, "ª"), (3, "中")], "doc_id long, text string")
+    got = {r.doc_id: r.lang_pred for r in language.classify(d, {"fr": b"le chat"}, F.lit(True)).collect()}
+    assert got == {1: "und", 2: "fr", 3: "fr"}
+
+
+def test_excerpts_come_from_all_over_a_text(spark):
+    text = "".join(f"part{i:04d} " for i in range(5000))
+    d = spark.createDataFrame([(1, text, "en"), (1, text, "en"), (None, "x y", "fr"), (2, "short", "en")], "doc_id long, text string, lang string")
+    got = language.fit(d, F.lit(True))
+    assert set(got) == {"en", "fr"} and b"short" in got["en"] and len(got["en"]) < 2100 and b"part0000" in got["en"] and b"part44" in got["en"]
+    assert sum(map(len, language.fit(d, F.lit(True), all_bytes=100).values())) <= 100
+    assert content([b"".join(b"%04d" % i for i in range(5000))], 2048).count(b"00") > 20
+
+
 def test_language_rejects(spark):
     d = spark.createDataFrame([(1, "12 !!"), (2, None), (3, "xqz"), (4, "le chat et le chien " * 5)], "doc_id long, text string")
     got = {r.doc_id: r for r in language.classify(d, {"fr": b"le chat et le chien le chat", "en": b"the cat and the dog the cat"}, F.lit(True)).collect()}
@@ -87,6 +102,24 @@ def test_long_texts_score_as_one():
     assert abs(a.logit(" ".join(words))[0] - whole) < 1e-3
 
 
+def test_short_texts_train_and_score():
+    texts, y = ["vile", "fine day"] * 40, np.array([1, 0] * 40)
+    scorer = toxicity.Scorer(toxicity.train(texts, y, ["en"] * 80))
+    assert scorer.score("vile") >= 0.5 > scorer.score("fine day") and 0 <= scorer.score("") <= 1
+
+
+def test_languages_of_their_own():
+    """A language with another level of log odds gets another threshold, however many languages there are."""
+    rng = np.random.default_rng(1)
+    texts, y, langs = [], [], []
+    for k in range(30):
+        for i in range(24):
+            texts.append(" ".join(f"l{k}w{j}" for j in rng.integers(0, 30, 20)) + (" vile" if i % 2 else ""))
+            y.append(i % 2), langs.append(f"l{k}")
+    model = toxicity.train(texts, np.array(y), langs, epochs=2)
+    assert len(model.lines) > 20 and np.isfinite(model.lines).all()
+
+
 def test_thresholds():
     slope, shift = toxicity.threshold(np.array([-3.0, -2, 4, 5]), np.array([0, 0, 1, 1]))
     assert slope > 0 and shift == 1.0
