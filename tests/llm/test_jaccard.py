@@ -81,24 +81,58 @@ def test_one_of_each(spark):
     assert {r.doc_id for r in J.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
 
 
+def kept_by_row(rows):
+    """Brute force by row: the least (null, id) of each group stays; rows without words stay."""
+    texts = list(enumerate(t for _, t in rows))
+    at = {k: c for k, (_, c) in brute(texts, 5, 80).items()}
+    best = {}
+    for k, (i, t) in enumerate(rows):
+        if shingles(t, 5):
+            best[at[k]] = min(best.get(at[k], (True, 1 << 62)), (i is None, i or 0))
+    return sorted(((i is None, i or 0) for i, t in rows if not shingles(t, 5))), sorted(best.values())
+
+
+def test_one_of_each_decides_by_row(spark):
+    t, u, v = (" ".join(f"{c}{k}" for k in range(40)) for c in "tuv")
+    near = t + " more"
+    rows = [(0, t), (1, t), (1, u), (2, v), (None, v), (None, near), (None, "nobody has an id here at all"), (None, "Nobody has an id here at all"), (5, ""), (5, ""), (6, None), (None, " "), (7, u + " x"), (7, u + " x"), (7, v)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "'c' as key", "1 as q_0", "map('a', 1) as m")
+    got = J.one_of_each(docs).collect()
+    empty, best = kept_by_row(rows)
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in got if not shingles(r.text, 5)) == empty
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in got if shingles(r.text, 5)) == best
+    assert {(r.doc_id, r.text) for r in got if r.doc_id in (0, 1, 2)} == {(0, t), (1, u), (2, v)} and all(r.m == {"a": 1} for r in got)
+
+
+def test_hot_shingles_and_groups(spark, monkeypatch):
+    """The ways of hot shingles, buckets and components give the same groups."""
+    from quillgraph.llm import common
+    from quillgraph.llm import components as module
+
+    monkeypatch.setattr(J, "HOT", 3)
+    monkeypatch.setattr(J, "SMALL", 2)
+    monkeypatch.setattr(common, "HOT_ROWS", 2)
+    monkeypatch.setattr(module, "LOCAL", 50)
+    rows = hard(5)
+    got = J.groups(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute(rows, 5, 80)
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.integers(1, 400), st.floats(0, 1), st.integers(0, 10**6), st.sampled_from([80, 85]))
-def test_linked_sets_share_a_signature(n, share, seed, percent):
+def test_linked_sets_meet(n, share, seed, percent):
     rng = np.random.default_rng(seed)
     x = rng.integers(1, 1 << 63, n + 200, dtype=np.uint64)
     a = np.unique(x[:n])
     # as many changes as a link allows at most, split between both sides
-    d = int(share * J.apart(2 * n, percent))
+    d = int(share * 2 * n * (100 - percent) / (100 + percent))
     b = np.unique(np.concatenate([x[d // 2 : n], x[n : n + d - d // 2]]))
     o = len(np.intersect1d(a, b))
     if len(b) and 100 * o >= percent * (len(a) + len(b) - o):
-        assert np.intersect1d(J.signatures(a, percent), J.signatures(b, percent)).size
-
-
-def test_classes():
-    for n in range(1, 3000):
-        c = J.class_of(n)
-        assert n <= J.top(c) and (c == 0 or n > J.top(c - 1))
+        often = rng.integers(0, 4, J.SLOTS).astype(np.int32)
+        (p, _), (q, _) = J.named(a, 1, often, 9, percent), J.named(b, 2, often, 9, percent)
+        small, large = (p, q) if len(a) <= len(b) else (q, p)
+        assert np.intersect1d(small[small & np.uint64(1) > 0] >> np.uint64(2), large >> np.uint64(2)).size
 
 
 def test_packed_sets_keep_overlaps():
@@ -109,8 +143,11 @@ def test_packed_sets_keep_overlaps():
     assert J.packed(np.zeros(0, np.uint64)) == [b""] * J.FRAGMENTS
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_connected_components(spark, seed):
+@pytest.mark.parametrize(("seed", "local"), [(0, 10_000), (1, 10), (2, 10)])
+def test_connected_components(spark, monkeypatch, seed, local):
+    from quillgraph.llm import components as module
+
+    monkeypatch.setattr(module, "LOCAL", local)
     rng = random.Random(seed)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(35)] + [(i, i + 1) for i in range(100, 140)] + [(200, i) for i in range(201, 230)]
     parent = {x: x for e in edges for x in e}
@@ -127,5 +164,16 @@ def test_connected_components(spark, seed):
     assert got == {x: find(x) for e in edges if e[0] != e[1] for x in e}
 
 
+@pytest.mark.parametrize("hot", [0, 1000])
+def test_attach(spark, monkeypatch, hot):
+    from quillgraph.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
+    rows = spark.createDataFrame([(1, "a")] * 50 + [(1, None)] + [(2, "b"), (3, "c"), (None, "d")], "k long, v string")
+    table = spark.createDataFrame([(1, 10, None, 51), (2, 20, "x", 1), (9, 90, "y", 0)], "k long, w long, z string, q_n long")
+    got = common.attach(rows, table, "k").collect()
+    assert sorted((r.k, r.v or "", r.w, r.z) for r in got) == sorted([(1, "a", 10, None)] * 50 + [(1, "", 10, None), (2, "b", 20, "x")], key=str) and got[0].__fields__ == ["k", "v", "w", "z"]
+
+
 def test_no_links(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
