@@ -55,10 +55,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents. Each stage's rows are written to the shared folder and read by the next."""
+    """All stages over documents.
+
+    Each stage's rows are written to the shared folder and read by the next; once that has written its own, they are
+    removed, so that one copy of the corpus is there at a time. The last one is left to the returned DataFrame.
+    Nulls, empty texts, repeated rows, empty tables and clashing columns are as the stages' operators state.
+    """
     docs = read(spark, sf_dir, "documents")
-    where = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    where, before = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}", None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{where}/{name}")
         docs = spark.read.parquet(f"{where}/{name}")
+        if before:
+            path = spark._jvm.org.apache.hadoop.fs.Path(before)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        before = f"{where}/{name}"
     return STAGES[-1][1](spark, docs, sf_dir)
