@@ -126,7 +126,7 @@ def judged(prompts: DataFrame, clients: Sequence[Client] = (offline,), system: s
     if sentence:
         before = F.when(F.coalesce(F.col(sentence), F.lit("")) == "", "missing_filled_sentence")
     if failed:
-        before = F.when(F.col(failed).isNotNull(), "no_response").otherwise(before)
+        before = F.when(F.col(failed).isNotNull(), "no_script03_response").otherwise(before)
     at = ask(prompts.where(before.isNull()), clients, system, policy)
     if sentence or failed:
         at = at.unionByName(prompts.where(before.isNotNull()).select(*prompts.columns, F.lit("").alias("reply"), before.alias("error"), F.lit(0).alias("attempts")))

@@ -494,7 +494,7 @@ def _doi_like(i: Column) -> Column:
     return F.element_at(F.array(*(F.lit(x) for x in ("10.1/2025.Findings-EMNLP.", "10.1/naacl-long.", " ACL-Short ", "10.1/other", ""))), (i % 5 + 1).cast("int"))
 
 
-@query("venue_class", """SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'EMNLP Findings' WHEN 1 THEN 'NAACL Main' WHEN 2 THEN 'ACL Main' WHEN 3 THEN 'Other' ELSE 'Unknown' END AS venue FROM documents""")
+@query("venue_class", """SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'Findings-EMNLP' WHEN 1 THEN 'NAACL Main' WHEN 2 THEN 'ACL Main' WHEN 3 THEN 'Other' ELSE 'Unknown' END AS venue FROM documents""")
 def _venue(spark, d):
     return views.table(spark, d, "documents").select("doc_id", text.venue_of(_doi_like(F.col("doc_id"))).alias("venue"))
 

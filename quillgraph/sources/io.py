@@ -144,7 +144,9 @@ def reuse(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> Data
     """The table at path, made and written first if it isn't there."""
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         write(make(), path)
         return spark.read.parquet(path)
 

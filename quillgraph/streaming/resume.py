@@ -20,8 +20,10 @@ def incremental(spark: SparkSession, source: str, schema: str, target: str, chec
         fresh = rows.dropDuplicates(key)
         try:
             fresh = fresh.join(spark.read.parquet(target).select(*key).distinct(), key, "left_anti")
-        except AnalysisException:
-            pass  # the target isn't there before the first batch
+        except AnalysisException as e:
+            # the target isn't there before the first batch
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
         work(fresh).write.mode("append").parquet(target)
 
     return spark.readStream.schema(schema).parquet(source).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
