@@ -354,70 +354,34 @@ def _all_pairs(spark, d):
     return dyads.author_pairs(_dyads(spark, d).select(*_DYAD_COLUMNS)).select("source", "target").where("source is not null and target is not null").distinct()
 
 
-def _pairs(spark, d):
-    """Those whose focal author is a seed researcher, as in the recursive SQL."""
-    return _all_pairs(spark, d).join(views.seeds(spark, d).withColumnRenamed("id", "source"), "source", "left_semi")
+# From every focal author, as far as paths go. Recursive SQL is too slow for that; tests hold them against brute force.
 
 
 def _hops(spark, d):
-    return graph.hops_in_memory(_edges(spark, d), _pairs(spark, d))
-
-
-_BFS = f"""RECURSIVE {views.EDGES_SQL}, {_DYADS[_DYADS.index("dy AS (") :]}, adj AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), pairs AS (
-  SELECT DISTINCT unnest([focal_first_author_researcher_id, focal_last_author_researcher_id, focal_first_author_researcher_id, focal_last_author_researcher_id]) AS source,
-    unnest([cited_first_author_researcher_id, cited_last_author_researcher_id, cited_last_author_researcher_id, cited_first_author_researcher_id]) AS target FROM dy
-), walk(source, node, d) AS (
-  SELECT DISTINCT p.source, p.source, 0 FROM pairs p WHERE p.source IN (SELECT src FROM adj) AND p.source IN (SELECT id FROM seeds)
-  UNION SELECT w.source, a.dst, w.d + 1 FROM walk w JOIN adj a ON a.src = w.node WHERE w.d < 10
-), near AS (SELECT source, node, min(d) AS d FROM walk GROUP BY ALL
-), hops AS (
-  SELECT p.source, p.target, CASE WHEN p.source IN (SELECT src FROM adj) AND p.target IN (SELECT src FROM adj) THEN coalesce(n.d, -1) END::INT AS d
-  FROM pairs p LEFT JOIN near n ON n.source = p.source AND n.node = p.target WHERE p.source IN (SELECT id FROM seeds) AND p.target IS NOT NULL)"""
+    return graph.hops_in_memory(_edges(spark, d), _all_pairs(spark, d))
 
 
-@query("bfs_distances", f"WITH {_BFS} SELECT source, target, d FROM hops")
+@query("bfs_distances")
 def _bfs(spark, d):
     return _hops(spark, d)
 
 
-@query("bfs_by_joins", f"WITH {_BFS} SELECT source, target, d FROM hops")
+@query("bfs_by_joins")
 def _bfs_joins(spark, d):
-    edges, pairs = _edges(spark, d), _pairs(spark, d)
+    edges, pairs = _edges(spark, d), _all_pairs(spark, d)
     return graph.distances(pairs, graph.hops_by_joins(edges, pairs.select(F.col("source").alias("id"))), graph.nodes(edges))
 
 
-@query("distance_coverage", f"WITH {_BFS} SELECT source, count(d) AS resolved, count(*) FILTER (d = -1) AS unreachable, count(*) FILTER (d >= 0) AS with_path FROM hops GROUP BY source")
+@query("distance_coverage")
 def _coverage(spark, d):
     return graph.distance_coverage(_hops(spark, d), "source")
 
 
-@query("distance_bins", f"WITH {_BFS} SELECT CASE WHEN d = -1 THEN 'unreach' WHEN d BETWEEN 0 AND 4 THEN 'd=' || d WHEN d >= 5 THEN 'd>=5' ELSE '' END AS bin, count(*) AS n FROM hops GROUP BY 1")
+@query("distance_bins")
 def _bins(spark, d):
     return _hops(spark, d).groupBy(text.distance_bin(F.col("d")).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
-# From every focal author, as far as paths go, which the recursive SQL doesn't do; tests hold them against brute force.
-
-
-def _all_hops(spark, d):
-    return graph.hops_in_memory(_edges(spark, d), _all_pairs(spark, d))
-
-
-@query("bfs_distances_all")
-def _bfs_all(spark, d):
-    return _all_hops(spark, d)
-
-
-@query("distance_coverage_all")
-def _coverage_all(spark, d):
-    return graph.distance_coverage(_all_hops(spark, d), "source")
-
-
-@query("distance_bins_all")
-def _bins_all(spark, d):
-    return _all_hops(spark, d).groupBy(text.distance_bin(F.col("d")).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-
-
 def _pooled(spark, d):
     """Slots with four made-up distances, from -1 to 6 or null, long."""
     s = views.slots(spark, d)
