@@ -398,12 +398,16 @@ class Join:
         del members, weight, pivots
         sweep(self.spark)
         self.read_sets(reduce(DataFrame.unionByName, [first.select(F.col(c).alias("key")) for c in "ab"] + [at.select("key")]))
-        found = self.links(first)
+        # the sets travel once for each pair: one kind of pairs at a time, so that the disks hold the sets of one only
+        found = cut(self.links(first))
+        sweep(self.spark)
         if at.isEmpty():
-            found = cut(found)
             return found, components(found)
-        found = cut(found.unionByName(self.links(self.possible(at.select(F.col("pivot").alias("a"), F.col("key").alias("b"))))))
+        second = cut(self.possible(at.select(F.col("pivot").alias("a"), F.col("key").alias("b"))))
+        sweep(self.spark)
+        second = cut(self.links(second))
         sweep(self.spark)
+        found = found.unionByName(second)
         roots = components(found)
         # pairs with a pivot are settled, and so are pairs within a component
         rest = cut(at.where("key != pivot").join(roots.withColumnRenamed("node", "key"), "key", "left").select("bucket", "key", "short", F.coalesce("root", "key").alias("root")))
@@ -423,7 +427,9 @@ class Join:
         sweep(self.spark)
         if not left.isEmpty():
             more.append(self._by_rarity(left))
-        found = cut(found.unionByName(self.links(self.possible(reduce(DataFrame.unionByName, more)))))
+        third = cut(self.possible(reduce(DataFrame.unionByName, more)))
+        sweep(self.spark)
+        found = cut(found.unionByName(self.links(third)))
         sweep(self.spark)
         return found, components(found)
 
