@@ -374,6 +374,11 @@ class Join:
         del again, picked, words
         sweep(self.spark)
 
+    def sets_of(self, keys: DataFrame) -> DataFrame:
+        """The packed sets that a join with keys (key) needs; the others stay where they are, unless keys are too many to broadcast."""
+        keys = cut(keys.distinct())
+        return self.sets.join(F.broadcast(keys), "key", "left_semi") if keys.count() <= MOST_BROADCAST else self.sets
+
     def links(self, pairs: DataFrame) -> DataFrame:
         """Of possible pairs those that link: overlaps are counted by fragment and summed by pair."""
 
@@ -382,7 +387,7 @@ class Join:
                 n = [overlap(x.as_py(), y.as_py()) for x, y in zip(batch.column(4), batch.column(5), strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(n, pa.int32())], ["a", "b", "na", "nb", "n"])
 
-        a, b = (self.sets.select(F.col("key").alias(k), "f", F.col("x").alias(f"x{k}")) for k in "ab")
+        a, b = (self.sets_of(pairs.select(F.col(k).alias("key"))).select(F.col("key").alias(k), "f", F.col("x").alias(f"x{k}")) for k in "ab")
         met = mapped(pairs.join(a, "a").join(b, ["b", "f"]).select("a", "b", "na", "nb", "xa", "xb"), run, "a long, b long, na int, nb int, n int")
         total = met.groupBy("a", "b", "na", "nb").agg(F.sum("n").alias("n"))
         return total.where(100 * F.col("n") >= self.percent * (F.col("na") + F.col("nb") - F.col("n"))).select("a", "b")
@@ -444,7 +449,7 @@ class Join:
         def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             return tallied(unpacked(x.as_py()) for batch in batches for x in batch.column(0))
 
-        mine = self.sets.join(rest, "key")
+        mine = self.sets_of(rest.select("key")).join(rest, "key")
         shared = self.spark.sparkContext.broadcast(table_of(mapped(mine.select("x"), counted, "chunk int, counts binary")))
 
         def ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
