@@ -399,7 +399,9 @@ class Join:
         # a set that stands in the shorter heads of many others' buckets is likely what they were made from: it goes first
         weight = members.groupBy("key").agg(F.sum("short").alias("weight"))
         pivots = members.join(weight, "key").groupBy("bucket").agg(F.max(F.when(F.col("short") > 0, F.struct("weight", "key"))).alias("p"), F.count(F.lit(1)).alias("q_n"))
-        at = cut(attach(members, pivots.where("p is not null and q_n > 1").select("bucket", F.col("p.key").alias("pivot"), "q_n"), "bucket"))
+        # every bucket is in the table, so that those that are dropped afterwards are dealt out too where they are hot
+        at = attach(members, pivots.select("bucket", F.col("p.key").alias("pivot"), F.col("q_n").alias("size"), "q_n"), "bucket")
+        at = cut(at.where("pivot is not null and size > 1").drop("size"))
         del members, weight, pivots
         sweep(self.spark)
         self.read_sets(reduce(DataFrame.unionByName, [first.select(F.col(c).alias("key")) for c in "ab"] + [at.select("key")]))
@@ -416,18 +418,19 @@ class Join:
         roots = components(found)
         # pairs with a pivot are settled, and so are pairs within a component
         rest = cut(at.where("key != pivot").join(roots.withColumnRenamed("node", "key"), "key", "left").select("bucket", "key", "short", F.coalesce("root", "key").alias("root")))
-        torn = rest.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.sum("short").alias("shorts"), F.count(F.lit(1)).alias("q_n")).where("lo != hi and shorts > 0")
-        torn = cut(torn.select("bucket", "shorts", "q_n"))
+        stats = rest.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.sum("short").alias("shorts"), F.count(F.lit(1)).alias("q_n"))
+        stats = cut(stats.withColumn("torn", F.expr("lo != hi and shorts > 0")).withColumn("size", F.col("q_n")).drop("lo", "hi"))
         sweep(self.spark)
-        if torn.isEmpty():
+        if stats.where("torn").isEmpty():
             return found, roots
+        torn = cut(attach(rest, stats, "bucket").where("torn").drop("torn"))
         more = []
         # few that can start a pair: each meets all the others
-        few, many = torn.where(F.col("shorts") <= SMALL), torn.where(F.col("shorts") > SMALL)
-        starts = attach(rest.where("short > 0"), few.select("bucket", F.col("shorts").alias("q_n"), F.lit(1).alias("few")), "bucket").groupBy("bucket").agg(F.collect_list(F.struct("key", "root")).alias("starts"))
-        met = attach(rest, starts.join(few.select("bucket", "q_n"), "bucket"), "bucket").select("key", "root", F.explode("starts").alias("s"))
+        few = torn.where(F.col("shorts") <= SMALL)
+        starts = cut(few.where("short > 0").groupBy("bucket").agg(F.collect_list(F.struct("key", "root")).alias("starts"), F.first("size").alias("q_n")))
+        met = attach(few, starts, "bucket").select("key", "root", F.explode("starts").alias("s"))
         more.append(cut(met.where("root != s.root").select(F.col("s.key").alias("a"), F.col("key").alias("b"))))
-        left = cut(attach(rest, many.select("bucket", "q_n", F.lit(1).alias("many")), "bucket").select("key", "root").distinct())
+        left = cut(torn.where(F.col("shorts") > SMALL).select("key", "root").distinct())
         del starts, met
         sweep(self.spark)
         if not left.isEmpty():
