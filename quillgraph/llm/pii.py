@@ -20,6 +20,8 @@ from quillgraph.llm.common import bounded_sample, mapped, read
 KINDS = ("email", "ip", "card", "phone")
 #: Characters of a window, and from one window's start to the next; a span of under WINDOW - STRIDE lies whole in one.
 WINDOW, STRIDE = 144, 48
+#: Windows decoded at a time; wider ones are so many fewer, and one alone is at most CHUNK times as wide.
+CHUNK = 512
 EMBED, HIDDEN, TAGS = 12, 20, 1 + 2 * len(KINDS)
 SURE = 0.9
 SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
@@ -32,6 +34,7 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _SIGN = re.compile(r"[0-9@]+")
 _DIGIT = re.compile(r"[0-9]")
+_ADDRESS_BEGUN = re.compile(r"[A-Za-z0-9._%+-]++(?:\s++)?(?:@\s*+(?:[A-Za-z0-9-]++\s?\.\s?)*+[A-Za-z0-9-]*+\s?)?")
 
 
 def luhn(digits: str) -> bool:
@@ -89,14 +92,25 @@ def plausible(kind: int, s: str) -> bool:
     return 9 <= len(digits) <= 15
 
 
+def unfinished(kind: int, s: str, before: str) -> bool:
+    """Whether s, after the character `before`, may begin a longer span that passes its kind's test.
+
+    The starts of which that holds and that reach over one place are few, so that following them takes linear time: an
+    address begins where its run of characters does, and a number has few digits, one of them at its beginning.
+    """
+    if kind == 0:
+        return before not in _LOCAL and bool(_ADDRESS_BEGUN.fullmatch(s))
+    return bool(_DIGIT.search(s[:3])) and len(_DIGIT.findall(s)) <= (0, 12, 19, 15)[kind]
+
+
 def code(c: str) -> int:
     """Id of a character: printable ASCII one by one, then line ends, other letters, the rest; 0 is padding."""
     o = ord(c)
     return o - 31 if 32 <= o < 127 else 96 if c == "\n" else 97 if c.isalpha() else 98
 
 
-def codes(text: str) -> np.ndarray:
-    out = np.zeros(WINDOW, np.int64)
+def codes(text: str, width: int = WINDOW) -> np.ndarray:
+    out = np.zeros(width, np.int64)
     out[: len(text)] = [code(c) for c in text]
     return out
 
@@ -343,23 +357,37 @@ def reconcile(found: dict[tuple[int, int, int], float]) -> list[tuple[int, int,
     return out[::-1]
 
 
-def model_spans(texts: list[str], net: Net, chunk: int = 512) -> list[list[tuple[int, int, int]]]:
-    """Spans that the network finds in each text: all windows are decoded, then each text's spans are reconciled."""
-    jobs = [(i, a) for i, t in enumerate(texts) for a in windows(t)]
+def model_spans(texts: list[str], net: Net, chunk: int = CHUNK) -> list[list[tuple[int, int, int]]]:
+    """Spans that the network finds in each text: all windows are decoded, then each text's spans are reconciled.
+
+    A span that every window cuts is decoded again in windows twice as wide, and so on, until one holds it.
+    """
+    jobs = [(i, a, -1) for i, t in enumerate(texts) for a in windows(t)]
     found: list[dict] = [{} for _ in texts]
-    for n in range(0, len(jobs), chunk):
-        some = jobs[n : n + chunk]
-        tags, sure = net.decode(np.stack([codes(texts[i][a : a + WINDOW]) for i, a in some]))
-        for (i, a), row, p in zip(some, tags, sure, strict=True):
-            last = min(WINDOW, len(texts[i]) - a)
-            for s in np.flatnonzero(row[:last] % 2 == 1).tolist():
-                e = s + 1
-                while e < last and row[e] == row[s] + 1:
-                    e += 1
-                # a span that a window cuts is left to the next window
-                if (s > 0 or a == 0) and (e < WINDOW or a + e == len(texts[i])) and p[s:e].mean() >= SURE:
-                    key = (a + s, a + e, (int(row[s]) - 1) // 2)
-                    found[i][key] = found[i].get(key, 0) + float(p[s:e].sum())
+    grid, width = {(i, a) for i, a, _ in jobs}, WINDOW
+    while jobs and width <= chunk * WINDOW:
+        cut, many = [], chunk * WINDOW // width
+        for n in range(0, len(jobs), many):
+            some = jobs[n : n + many]
+            tags, sure = net.decode(np.stack([codes(texts[i][a : a + width], width) for i, a, _ in some]))
+            for (i, a, of), row, p in zip(some, tags, sure, strict=True):
+                t = texts[i]
+                last = min(width, len(t) - a)
+                for s in np.flatnonzero(row[:last] % 2 == 1).tolist():
+                    e, kind = s + 1, (int(row[s]) - 1) // 2
+                    while e < last and row[e] == row[s] + 1:
+                        e += 1
+                    # a span that a window cuts on its left is left to the window before; a wider window is asked for one span
+                    if (s == 0 and a > 0) or (of >= 0 and not (s <= of < e and 2 * e >= width)):
+                        continue
+                    if e == width and a + e < len(t):
+                        # the next window is asked first if it holds the start
+                        if (of >= 0 or s <= STRIDE or (i, a + STRIDE) not in grid) and unfinished(kind, t[a + s : a + e], t[a + s - 1 : a + s]):
+                            cut.append((i, a, s))
+                    elif p[s:e].mean() >= SURE and (of < 0 or plausible(kind, t[a + s : a + e])):
+                        key = (a + s, a + e, kind)
+                        found[i][key] = found[i].get(key, 0) + float(p[s:e].sum())
+        jobs, width = cut, 2 * width
     return [reconcile(f) for f in found]
 
 
@@ -404,8 +432,8 @@ def find(docs: DataFrame, params: dict[str, np.ndarray]) -> DataFrame:
     """One row for each row of docs with its counts of pattern spans, their digest, and all spans.
 
     Null text counts as empty: no spans, the digest of an empty string. Whole texts are searched, in time linear in
-    their length; what the model adds is shorter than WINDOW - STRIDE characters. A batch of texts and 512 windows are
-    in memory at a time. Repeated rows give repeated results; columns beside doc_id and text are not read; an empty
+    their length; what the model adds is shorter than CHUNK / 2 * WINDOW characters. A batch of texts and CHUNK windows, or as
+    many characters in wider ones, are in memory at a time. Repeated rows give repeated results; columns beside doc_id and text are not read; an empty
     table gives an empty one.
     """
     shared = docs.sparkSession.sparkContext.broadcast(params)

@@ -1,6 +1,7 @@
 import re
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -106,6 +107,35 @@ def test_windows_hold_every_sign():
     assert pii.windows("no sign here " * 50) == []
 
 
+class Marked:
+    """Stands for a network: marks an address from each % to before the next ;, and like a network nothing whose beginning it doesn't see."""
+
+    def decode(self, ids):
+        tags = np.zeros(ids.shape, np.int64)
+        for row, out in zip(ids, tags, strict=True):
+            for s in np.flatnonzero(row == pii.code("%")):
+                ends = np.flatnonzero((row[s:] == pii.code(";")) | (row[s:] == 0))
+                out[s : s + (ends[0] if len(ends) else len(row))] = 2
+                out[s] = 1
+        return tags, np.ones(ids.shape)
+
+
+@pytest.mark.parametrize("n", [40, 90, 96, 130, 300, 1000, 5000])
+def test_added_spans_of_any_length_at_any_place(n):
+    address = ("%name.other @ " + "mail.department." * n)[: n - 3] + "org"
+    texts = [";" * lead + address + ";" + " 7 words " * 30 for lead in range(0, 150, 7)] + [";" * 60 + address]
+    assert [added for _, added in pii.all_spans(texts, Marked())] == [[(t.index("%"), t.index("%") + n, 0)] for t in texts]
+
+
+def test_marks_without_an_end_take_linear_time():
+    for t in ("%a1" * 100_000 + " @", "%1 " * 100_000, ("%" + " " * 300 + "1") * 1000):
+        asked = []
+        net = Marked()
+        net.decode = lambda ids, f=Marked().decode: asked.append(ids.size) or f(ids)
+        pii.model_spans([t], net)
+        assert sum(asked) <= 8 * pii.WINDOW * (len(t) // pii.STRIDE + 2)
+
+
 def test_trained_network_adds_spellings_and_leaves_prose():
     prose = ["plain words in a row that say nothing much at all and go on for a while without end " * 4 + f"call +1 ({300 + i}) 555-{1000 + i} or mail ab.{10 + i}@mail{i % 9}.example.com end" for i in range(60)]
     parts = [pii.drawn(t, 8, 4) for t in prose]
