@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import bounded_sample, id_remainder, mapped, read
+from quillgraph.llm.common import bounded_sample, id_remainder, mapped, read, spread
 
 TOKEN = re.compile(r"\w+")
 #: Letters of a word's beginning that have an embedding of their own, added to the word's.
@@ -20,8 +20,10 @@ PREFIX = 4
 DIM, FILTERS, WIDTHS = 8, 8, (1, 2, 3)
 #: Buckets that words, and apart from them their beginnings, are hashed into; words that a worker remembers.
 BUCKETS, MEMORY = 1 << 22, 60_000
-#: Of each class every so many-th row calibrates. Rows of the rarer class at which a threshold counts as much as what it leans on.
+#: Of each class in each language every so many-th row calibrates. Rows of the rarer class at which a threshold counts as much as what it leans on.
 HELD, LEAN = 4, 5
+#: Rows of each class that a language gets in the sample at least (as far as it has them), however many languages there are.
+FEWEST = 8
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 
 
@@ -112,7 +114,7 @@ class Scorer:
 
 
 def train(texts: list[str], y: np.ndarray, langs: list[str | None], epochs: int = 8, seed: int = 7) -> Model:
-    """Fits the model: of each class three quarters of the rows train the network, the rest calibrate its thresholds.
+    """Fits the model: of each class and language three quarters of the rows train the network, the rest calibrate its thresholds.
 
     A language has a threshold of its own if it has rows of both classes among the latter; the fewer, the more it
     leans on the one of all languages. Embeddings start from how much more often a word stands in texts of class 1. Only words and beginnings in at
@@ -125,8 +127,11 @@ def train(texts: list[str], y: np.ndarray, langs: list[str | None], epochs: int
     pair = np.array([hashes(w) for w in vocab], dtype=np.int64).reshape(-1, 2)
     del vocab
     nth = np.zeros(len(words), int)
-    for k in (0, 1):
-        nth[y == k] = rng.permutation((y == k).sum())
+    alike: dict[tuple[int, str], list[int]] = {}
+    for i, k in enumerate(langs):
+        alike.setdefault((int(y[i]), k or ""), []).append(i)
+    for _, at in sorted(alike.items()):
+        nth[at] = rng.permutation(len(at))
     train_rows = nth % HELD != 1
     ids, back = np.unique(pair, return_inverse=True)
     back = back.reshape(-1, 2)
@@ -249,18 +254,34 @@ def threshold(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(6 / max(gap, 1e-3)) if gap > 0 else 1.0, float(shift)
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = 3000, longest: int = 200_000) -> Model:
-    """A model from about per_class labelled rows of each class; only label rows where `learn` holds count.
+def by_language(docs: DataFrame, marks: DataFrame, per_language: int, per_class: int) -> DataFrame:
+    """Columns id, y: about per_language rows of marks (id, y) of each class in each language of docs.
+
+    Beyond per_class / per_language languages it is so many fewer of each that they are about per_class together, but
+    FEWEST at least. A language and its counts per group reach the driver.
+    """
+    known = marks.distinct().join(docs.where("lang is not null").select(F.col("doc_id").alias("id"), F.col("lang").alias("l")).distinct(), "id")
+    counts = known.groupBy("y", "l").agg(F.count(F.lit(1)).alias("n")).collect()
+    if not counts:
+        return marks.limit(0)
+    size = min(per_language, max(FEWEST, per_class // len({r.l for r in counts})))
+    limits = docs.sparkSession.createDataFrame([(r.y, r.l, min(1.0, size / r.n)) for r in counts], f"y {dict(marks.dtypes)['y']}, l string, q_limit double")
+    return known.join(F.broadcast(limits), ["y", "l"]).where(spread(F.col("id")) < F.col("q_limit")).select("id", "y")
+
+
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = 3000, longest: int = 200_000, per_language: int = 60) -> Model:
+    """A model from about per_class labelled rows of each class, and about per_language of each class in each language; only label rows where `learn` holds count.
 
     Labelled texts of over `longest` characters aren't drawn, so that what comes to the driver has a bound; scoring
-    has no such limit. Of several texts of one id one is taken.
+    has no such limit. Of several texts of one id one is taken. The model grows with the number of languages.
 
-    lang is used while fitting alone: it names the groups that get a threshold of their own, which at scoring are
-    recognised by their words. Null texts and labels are left out. Without both classes every score is 0.5 or under.
+    lang is used while fitting alone: it says which rows are drawn and names the groups that get a threshold of their
+    own, which at scoring are recognised by their words. Null texts and labels are left out. Without both classes
+    every score is 0.5 or under.
     """
     marks = labels.where(learn & F.col("toxic").isin(0, 1)).select(F.col("doc_id").alias("id"), F.col("toxic").alias("y"))
-    picked = bounded_sample(marks, "y", ["id"], per_class)
-    # about 2 * per_class ids, so this side is small whatever the corpus holds
+    picked = bounded_sample(marks, "y", ["id"], per_class).unionByName(by_language(docs, marks, per_language, per_class))
+    # about 2 * per_class ids and as many by language (or FEWEST for each), so this side is small whatever the corpus holds
     rows = docs.where(F.col("text").isNotNull() & (F.char_length("text") <= longest)).select(F.col("doc_id").alias("id"), F.col("text").alias("t"), F.col("lang").alias("l")).join(F.broadcast(picked.distinct()), "id")
     got = list(rows.groupBy("id", "y").agg(F.min(F.struct("t", "l")).alias("x")).select("id", "y", "x.*").orderBy("id", "y").toLocalIterator())
     y = np.array([r.y for r in got], dtype=int)

@@ -120,6 +120,24 @@ def test_languages_of_their_own():
     assert len(model.lines) > 20 and np.isfinite(model.lines).all()
 
 
+def test_a_rare_language_gets_its_threshold(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, " ".join(f"{k}w{j}" for j in rng.integers(0, 30, 20)) + (" vile" if i % 2 else ""), k, i % 2) for i in range(1000) for k in ["rare" if i >= 980 else "en"]]
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(r[0], r[3]) for r in rows], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, F.lit(True), per_class=60)
+    assert len(model.lines) == 3
+    assert [toxicity.Scorer(model).logit(" ".join(f"{k}w{j}" for j in range(20)))[1] for k in ("en", "rare")] == [0, 1]
+
+
+def test_the_share_of_many_languages(spark):
+    n = 40
+    docs = spark.range(n * 100).select(F.col("id").alias("doc_id"), F.concat(F.lit("l"), F.col("id") % n).alias("lang"))
+    marks = docs.select(F.col("doc_id").alias("id"), (F.col("doc_id") > n * 50).cast("int").alias("y"))
+    got = {(r.y, r.l): r["count"] for r in toxicity.by_language(docs, marks, 60, 100).join(docs.select(F.col("doc_id").alias("id"), F.col("lang").alias("l")), "id").groupBy("y", "l").count().collect()}
+    assert len(got) == 2 * n and 0.8 * 2 * n * toxicity.FEWEST < sum(got.values()) < 1.2 * 2 * n * toxicity.FEWEST
+
+
 def test_thresholds():
     slope, shift = toxicity.threshold(np.array([-3.0, -2, 4, 5]), np.array([0, 0, 1, 1]))
     assert slope > 0 and shift == 1.0
