@@ -38,11 +38,29 @@ def _order() -> list[Column]:
     return [type_rank(F.col("pub_type")), F.abs(F.coalesce("pub_year", F.lit(9999)) - F.coalesce("year_hint", F.lit(9999))), F.coalesce("pub_citations", F.lit(0)).desc(), F.col("pub_id")]
 
 
+def _candidates(pubs: DataFrame, key: str) -> DataFrame:
+    """One row for each filled key (q_key): the publications that can be the best one of a reference with that key.
+
+    They are of the key's first kind of work and the best of their year, so there are no more than years, however many
+    publications share a key.
+    """
+    row = F.struct(*pubs.columns)
+    year, order = F.coalesce("pub_year", F.lit(9999)), F.struct(type_rank(F.col("pub_type")).alias("kind"), (-F.coalesce("pub_citations", F.lit(0))).alias("cited"), F.col("pub_id"))
+    at = pubs.where(F.col(key) != "").groupBy(F.col(key).alias("q_key"), year.alias("q_year")).agg(F.min(order).alias("q_order"), F.min_by(row, order).alias("q_row"))
+    every = at.groupBy("q_key").agg(F.min("q_order.kind").alias("q_kind"), F.collect_list(F.struct("q_year", "q_order", "q_row")).alias("q_all"))
+    return every.select("q_key", F.filter("q_all", lambda x: x["q_order"]["kind"] == F.col("q_kind")).alias("q_all"))
+
+
 def hits(refs: DataFrame, pubs: DataFrame, ref_key: str, pub_key: str, method: str, uid: str = "row_uid") -> DataFrame:
-    """The best publication of each reference whose key is filled and equal."""
+    """The best publication of each reference whose key is filled and equal.
+
+    References meet the few candidates of their key, not all publications that share it.
+    """
     kept = [c for c in pubs.columns]
     # empty keys go before the join: they match nothing, and would gather in one task
-    at = refs.where(F.col(ref_key) != "").select(uid, F.col(ref_key).alias("q_k"), "year_hint").join(pubs.where(F.col(pub_key) != ""), F.col("q_k") == F.col(pub_key))
+    at = refs.where(F.col(ref_key) != "").select(uid, F.col(ref_key).alias("q_k"), "year_hint").join(_candidates(pubs, pub_key), F.col("q_k") == F.col("q_key"))
+    away = F.transform("q_all", lambda x, i: F.struct(F.abs(x["q_year"] - F.coalesce("year_hint", F.lit(9999))).alias("away"), x["q_order"].alias("order"), i.alias("i")))
+    at = at.select(uid, "year_hint", F.col("q_all")[F.array_min(away)["i"]]["q_row"].alias("q_row")).select(uid, "year_hint", "q_row.*")
     best = at.withColumn("q_n", F.row_number().over(Window.partitionBy(uid).orderBy(*_order()))).where("q_n = 1")
     return best.select(uid, F.lit(method).alias("method"), *kept)
 
