@@ -117,19 +117,23 @@ def focal_matches(focal: DataFrame, pubs: DataFrame) -> DataFrame:
     return at
 
 
-def nested(at: DataFrame, contexts: DataFrame, source: str = "source", paper: str = "paper") -> DataFrame:
+def nested(at: DataFrame, contexts: DataFrame | list[str], source: str = "source", paper: str = "paper") -> DataFrame:
     """One row per source and paper: contexts in order, each with its original and recommended items in order and counts.
 
-    Contexts without any citation row are not in the result.
+    `contexts` has the other columns of contexts; or it names those of `at` that all rows of a context share, which
+    spares a join. Contexts without any citation row are not in the result.
     """
-    fields = [c for c in at.columns if c not in (source, paper, "context_index", "kind")]
+    shared = contexts if isinstance(contexts, list) else []
+    fields = [c for c in at.columns if c not in (source, paper, "context_index", "kind", *shared)]
     item = F.struct(F.col("position"), *(F.col(c) for c in fields if c != "position"))
 
     def items(kind: str) -> list[Column]:
         mine = F.col("kind") == kind
         return [F.array_sort(F.collect_list(F.when(mine, item))).alias(kind), F.count_if(mine).alias(f"n_{kind}"), F.count_if(mine & F.col("pub_id").isNotNull()).alias(f"n_{kind}_matched")]
 
-    by_context = at.groupBy(source, paper, "context_index").agg(*items("original"), *items("recommended")).join(contexts, [source, paper, "context_index"], "left")
+    by_context = at.groupBy(source, paper, "context_index").agg(*items("original"), *items("recommended"), *(F.first(c).alias(c) for c in shared))
+    if not isinstance(contexts, list):
+        by_context = by_context.join(contexts, [source, paper, "context_index"], "left")
     inside = F.struct("context_index", *(c for c in by_context.columns if c not in (source, paper, "context_index")))
     out = by_context.groupBy(source, paper).agg(F.array_sort(F.collect_list(inside), lambda a, b: (a["context_index"] - b["context_index"]).cast("int")).alias("contexts"), *(F.sum(c).alias(c) for c in ("n_original", "n_original_matched", "n_recommended", "n_recommended_matched")))
     return out
@@ -137,5 +141,6 @@ def nested(at: DataFrame, contexts: DataFrame, source: str = "source", paper: st
 
 def shared_contexts(at: DataFrame, n_sources: int, source: str = "source", paper: str = "paper") -> DataFrame:
     """Rows of the contexts in which each of n_sources has a matched citation."""
-    keep = at.where("pub_id is not null").groupBy(paper, "context_index").agg(F.count_distinct(source).alias("n")).where(F.col("n") == n_sources).select(paper, "context_index")
-    return at.join(keep, [paper, "context_index"], "left_semi")
+    found = F.collect_set(F.when(F.col("pub_id").isNotNull(), F.col(source))).over(Window.partitionBy(paper, "context_index"))
+    known = at.where(F.col(paper).isNotNull() & F.col("context_index").isNotNull())
+    return known.withColumn("q_n", F.size(found)).where(F.col("q_n") == n_sources).drop("q_n")

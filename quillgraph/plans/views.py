@@ -17,28 +17,68 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per citation slot: an order line of a customer, told apart by the order's priority as its source."""
-    lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderdate")
+#: Bytes of lines on disk for each task that sorts them.
+TASK_BYTES = 8 << 20
+
+
+def tasks(df: DataFrame) -> int:
+    """How many tasks to deal df's files to, so that one task's share doesn't grow with them."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
+
+
+def one_part_each(lines: DataFrame, part: DataFrame) -> bool:
+    """Whether each part of a line is there once, so that joining them keeps all lines and adds none."""
+    known = part.groupBy(F.col("p_partkey").alias("l_partkey")).agg(F.count(F.lit(1)).alias("n"))
+    return lines.select("l_partkey").where("l_partkey is not null").distinct().join(known, "l_partkey", "left").where("coalesce(n, 0) != 1").isEmpty()
+
+
+def slots(spark: SparkSession, sf_dir: str, by: tuple[str, ...] = (), of_part: bool = False) -> DataFrame:
+    """One row per citation slot: an order line of a customer, told apart by the order's priority as its source.
+
+    `by`, of source and paper, adds each slot's position; rows are then dealt to tasks by these columns, so that what
+    groups by them (and more) needs no further shuffle. `of_part` adds citations and teamsize; without them lines don't
+    travel to their parts unless some part is missing or repeated.
+    """
+    lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", F.year("o_orderdate").alias("q_year"))
     per_part = lines.groupBy("l_partkey").agg(F.count(F.lit(1)).alias("citations"))
-    at = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(per_part, "l_partkey").join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_size").cast("bigint").alias("teamsize")), "l_partkey")
-    by = Window.partitionBy("o_orderpriority", "o_custkey", "l_linenumber").orderBy(*LINE_ORDER)
+    # each part of a line has a count: as an outer join it goes where nobody asks for that
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_size").cast("bigint").alias("teamsize")).join(per_part, "l_partkey", "left")
+    raw, n = lines, tasks(lines)
+
+    def dealt(df: DataFrame, key: str) -> DataFrame:
+        return df.repartition(n, key) if n > int(spark.conf.get("spark.sql.shuffle.partitions")) else df
+
+    if by:
+        # the order of an order's lines is settled where they meet first, so that what it rests on travels once
+        tie = F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy(*LINE_ORDER))
+        lines, orders = lines.where("l_orderkey is not null").repartition(n, "l_orderkey").withColumn("q_tie", tie), orders.repartition(n, "o_orderkey")
+    else:
+        lines, orders = dealt(lines, "l_orderkey"), dealt(orders, "o_orderkey")
+    at = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        "l_partkey", "l_linenumber", *(["l_orderkey", "q_tie"] if by else []), F.col("o_orderpriority").alias("source"), F.col("o_custkey").alias("paper"), (F.year("l_shipdate") - F.col("q_year")).alias("recency"),
+        F.when(F.col("l_returnflag") == "R", 0).when(F.col("l_returnflag") == "A", 1).otherwise(2).alias("q_original"), F.pmod(F.col("l_linenumber") + F.col("l_suppkey"), F.lit(3)).cast("int").alias("q_filled"), (F.col("l_suppkey") % 7 != 0).alias("q_cited"),
+    )
+    if of_part or not one_part_each(raw, table(spark, sf_dir, "part")):
+        at = dealt(at, "l_partkey").join(dealt(parts, "l_partkey"), "l_partkey")
+    else:
+        at = at.where("l_partkey is not null")
+    if by:
+        place = F.row_number().over(Window.partitionBy("source", "paper", "l_linenumber").orderBy("l_orderkey", "q_tie"))
+        at = at.repartition(n, *by).withColumn("position", (place - 1).cast("bigint"))
     intents = F.array(*(F.lit(x) for x in ("supporting", "contrasting", "mentioning")))
     at = at.withColumns(
         {
-            "source": F.col("o_orderpriority"),
-            "paper": F.col("o_custkey"),
             "context": F.col("l_linenumber").cast("bigint"),
-            "position": (F.row_number().over(by) - 1).cast("bigint"),
-            "intent_original": F.when(F.col("l_returnflag") == "R", "supporting").when(F.col("l_returnflag") == "A", "contrasting").otherwise("mentioning"),
-            "intent_filled": F.element_at(intents, (F.pmod(F.col("l_linenumber") + F.col("l_suppkey"), F.lit(3)) + 1).cast("int")),
-            "recency": (F.year("l_shipdate") - F.year("o_orderdate")).cast("bigint"),
-            "cited_id": F.when(F.col("l_suppkey") % 7 != 0, F.col("l_partkey")),
+            "intent_original": F.element_at(intents, F.col("q_original") + 1),
+            "intent_filled": F.element_at(intents, F.col("q_filled") + 1),
+            "recency": F.col("recency").cast("bigint"),
+            "cited_id": F.when(F.col("q_cited"), F.col("l_partkey")),
             "section": F.element_at(F.create_map(*(F.lit(x) for kv in HEADINGS.items() for x in kv)), F.col("l_linenumber").cast("int")),
         }
     )
     at = at.withColumn("intent", F.when(F.col("source") == HUMAN, F.col("intent_original")).otherwise(F.col("intent_filled")))
-    return at.select("source", "paper", "context", "position", "intent_original", "intent_filled", "intent", "recency", "citations", "teamsize", "cited_id", "section")
+    return at.select("source", "paper", "context", *(["position"] if by else []), "intent_original", "intent_filled", "intent", "recency", *(["citations", "teamsize"] if of_part else []), "cited_id", "section")
 
 
 def _case(pairs: dict, key: str) -> str:

@@ -1,10 +1,16 @@
 """What steps make in between: rows and shuffles that would grow faster than the tables."""
 
+import os
 import random
 
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from quillgraph.operators import match
+from quillgraph.plans import views, workload
+
+SF = "/root/testdata/sf0.001"
 
 
 def nodes(df):
@@ -48,3 +54,41 @@ def test_many_references_and_publications_share_a_key(spark):
     want = {(i, "doi" if doi == "10.1/a" else "title", best(hint)) for i, doi, title, hint in refs if doi == "10.1/a" or title}
     assert {(r.row_uid, r.method, r.pub_id) for r in found.collect()} == want
     assert most_rows(found) <= len(pubs) + len(refs)
+
+
+def reads(df, column):
+    """Scans in df's plan that read `column`."""
+    return sum(x.nodeName().startswith("Scan parquet") and column in x.output().mkString() for x in nodes(df))
+
+
+@pytest.mark.parametrize("name", ["nested_regroup", "shared_contexts", "per_paper_rate", "anova_stats", "intent_ci"])
+def test_lines_travel_once_to_their_orders_and_not_to_parts(spark, name):
+    df = workload.QUERIES[name](spark, SF)
+    twice = 2 if name == "intent_ci" else 1  # the human level beside each bar
+    assert reads(df, "l_orderkey") <= twice and reads(df, "p_partkey") == 0
+
+
+@pytest.mark.parametrize("name", ["distance_medians", "distance_kde", "mean_distance_per_context"])
+def test_tasks_follow_the_size_of_the_tables(spark, monkeypatch, name):
+    monkeypatch.setattr(views, "TASK_BYTES", 10_000, raising=False)
+    lines = views.table(spark, SF, "lineitem")
+    most = max(x.outputPartitioning().numPartitions() for x in nodes(workload.QUERIES[name](spark, SF)) if x.nodeName() == "Window")
+    assert most >= sum(os.path.getsize(p.removeprefix("file://")) for p in lines.inputFiles()) // 10_000
+
+
+def test_missing_and_repeated_parts(spark, tmp_path):
+    c = duckdb.connect()
+    for t in ("orders", "lineitem", "part"):
+        cols = c.sql(f"SELECT * FROM '{SF}/{t}.parquet' LIMIT 0").columns
+        what = f"SELECT * FROM '{SF}/{t}.parquet'"
+        if t == "part":
+            what = f"SELECT * FROM ({what}) WHERE p_partkey % 10 <> 3 UNION ALL SELECT * FROM ({what}) WHERE p_partkey % 10 = 4"
+        if t == "lineitem":
+            what = f"SELECT {', '.join('CASE WHEN l_suppkey % 4 = 0 THEN NULL ELSE l_partkey END AS l_partkey' if x == 'l_partkey' else x for x in cols)} FROM ({what})"
+        c.sql(f"COPY ({what}) TO '{tmp_path}/{t}.parquet' (FORMAT parquet)")
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    assert not views.one_part_each(views.table(spark, str(tmp_path), "lineitem"), views.table(spark, str(tmp_path), "part"))
+    for name in ("per_paper_rate", "label_preservation"):
+        df = workload.QUERIES[name](spark, str(tmp_path))
+        want = c.sql(f"SELECT {', '.join(df.columns)} FROM ({workload.ORACLE_SQL[name]})").fetchall()
+        assert sorted(map(tuple, df.collect())) == sorted(want)
